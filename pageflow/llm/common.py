@@ -52,21 +52,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sum_arrays(df: DataFrame, column: str, length: int):
-    """Element-wise sum of fixed-length int64 vectors that arrive as binary, one row for each task: a tree of two levels,
-    so that no task and not the driver holds more than a bounded number of vectors at once. Returns a numpy array."""
-    import numpy as np
-
-    def add(batches):
-        import pyarrow as pa
-
-        total = np.zeros(length, dtype=np.int64)
-        for b in batches:
-            for v in b.column(0).to_pylist():
-                total += np.frombuffer(v, dtype=np.int64)
-        yield pa.RecordBatch.from_pydict({column: [total.tobytes()]})
-
-    out = np.zeros(length, dtype=np.int64)
-    for row in df.select(column).repartition(4).mapInArrow(add, f"{column} binary").toLocalIterator():
-        out += np.frombuffer(row[0], dtype=np.int64)
-    return out
+#: Rows of a few numbers (16 to 50 bytes each) up to which a counted side is broadcast.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def sized(side: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``side`` with a broadcast hint if it was counted to have at most ``most`` rows; else it is joined by a shuffle."""
+    return F.broadcast(side) if side.count() <= most else side

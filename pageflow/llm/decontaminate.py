@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 WINDOW = 10
 #: So many leading words of a window are tested first.
@@ -135,8 +135,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, with all their columns. A row goes if its text and id are those of a hit."""
-    bad = hits(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    bad = written(hits(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct(), "contaminated")
+    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

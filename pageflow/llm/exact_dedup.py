@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: Where a chunk may end: a space after one of these letter pairs.
@@ -67,8 +67,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. ``docs`` must be read from files (row order is used)."""
     tagged = docs.withColumn("_row", F.monotonically_increasing_id())
-    dropped = exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("_row"))
-    return tagged.join(dropped, "_row", "left_anti").drop("_row")
+    dropped = written(exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped")
+    return tagged.join(sized(dropped), "_row", "left_anti").drop("_row")
 
 
 ORACLE = r"""

@@ -23,14 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, sized, written
 from .components import connected
 from .textvec import WORD_SPACE, buffers, mix, shingles, slices, word_hashes
 
 #: Shingles (8 bytes each) of one part of a family; two parts are held at once.
 PART_SHINGLES = 2_000_000
-#: Rows of family members up to which they are broadcast to the second scan (16 bytes each).
-MAX_BROADCAST_ROWS = 500_000
 GROUPS, LEAF, FANOUT = 64, 16, 16
 
 
@@ -243,9 +241,8 @@ def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                     raise ValueError("the documents changed between two scans")
                 yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(i, j - i) for c in ("family", "parts", "node")} | {"set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    small = members.count() <= MAX_BROADCAST_ROWS
     rows = docs.select(F.monotonically_increasing_id().alias("node"), "text")
-    own = rows.join(F.broadcast(members) if small else members, "node")
+    own = rows.join(sized(members), "node")
     return own.select("family", "parts", "node", "h1", "h2", "text").mapInArrow(run, "family long, parts int, node long, set binary")
 
 
@@ -277,8 +274,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when every component keeps one, with all their columns."""
-    dropped = jaccard_components(docs, k, percent).where(~F.col("kept")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(dropped, "_row", "left_anti").drop("_row")
+    dropped = written(jaccard_components(docs, k, percent).where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(sized(dropped), "_row", "left_anti").drop("_row")
 
 
 ORACLE = r"""

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, sized, written
 from .textvec import _CODES, _RNG, buffers, mix, powers, prefix_hash, slices
 
 LENGTH, SEED = 200, 32
@@ -296,9 +296,8 @@ def removals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes as text) of every row."""
     gone = removals(docs)
-    small = gone.count() <= MAX_BROADCAST_ROWS
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    joined = rows.join(F.broadcast(gone) if small else gone, "row", "left").select("doc_id", "text", "pairs")
+    joined = rows.join(sized(gone, MAX_BROADCAST_ROWS), "row", "left").select("doc_id", "text", "pairs")
 
     def cut(batches):
         import pyarrow as pa
