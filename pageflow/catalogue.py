@@ -1,4 +1,772 @@
-"""Queries of the library's own operators on the shared test tables."""
+"""Queries of the library's own operators on the shared test tables, and the same in DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no scanned pages, so pages, boxes, characters, recognitions and pixels are derived from them by integer
+arithmetic that any engine computes alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import arrays, geometry, numbers, text
+from .operators import confidence, datasets, decode, detect, evalstats, image_quality, layout, lm, raster, recognise, tiling
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- derived frames -------------------------------------------------------------------------------------------------
+
+_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+BOX = f"""box AS (SELECT l_orderkey // 32 AS page, (row_number() OVER (PARTITION BY l_orderkey // 32 ORDER BY {_KEY}) - 1)::INT AS idx, ((l_partkey * 37) % 600)::INT AS x1, ((l_suppkey * 53 + l_linenumber * 101) % 600)::INT AS y1,
+ ((l_partkey * 37) % 600 + 20 + floor(l_quantity))::INT AS x2, ((l_suppkey * 53 + l_linenumber * 101) % 600 + 20 + l_partkey % 41)::INT AS y2, l_extendedprice AS score, l_partkey AS part, l_suppkey AS supp, l_linenumber AS line, chr((12354 + l_partkey % 80)::INT) AS char FROM lineitem)"""
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """page, idx, corners, score, char from lineitem; about 128 boxes a page at every scale."""
+    order = Window.partitionBy("page").orderBy(*_KEY.split(", "))
+    raw = _table(spark, d, "lineitem").withColumn("page", F.expr("l_orderkey div 32"))
+    x1, y1 = (F.col("l_partkey") * 37) % 600, (F.col("l_suppkey") * 53 + F.col("l_linenumber") * 101) % 600
+    notation = F.concat(F.lit("U+"), F.hex(12354 + F.col("l_partkey") % 80))
+    return raw.select(
+        "page", (F.row_number().over(order) - 1).alias("idx"), x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 20 + F.floor("l_quantity")).cast("int").alias("x2"),
+        (y1 + 20 + F.col("l_partkey") % 41).cast("int").alias("y2"), F.col("l_extendedprice").alias("score"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("line"), text.code_point_char(notation).alias("char"),
+    )
+
+
+REC = "rec AS (SELECT user_id AS folder, event_id AS pos, event_type AS char, value / 500 AS prob FROM events)"
+
+
+def recognitions(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select(F.col("user_id").alias("folder"), F.col("event_id").alias("pos"), F.col("event_type").alias("char"), (F.col("value") / 500).alias("prob"))
+
+
+DEC = f"""{BOX}, dec AS (SELECT page, idx AS pos, chr((12354 + part % 80)::INT) AS gt, chr((12354 + CASE WHEN part % 7 = 0 THEN (part + 1) % 80 ELSE part % 80 END)::INT) AS greedy, chr((12354 + CASE WHEN (part + line) % 11 = 0 THEN (part + 2) % 80 ELSE part % 80 END)::INT) AS lm,
+ chr((12354 + CASE WHEN (part + line) % 13 = 0 THEN (part + 2) % 80 ELSE part % 80 END)::INT) AS final, [chr((12354 + (part + (j * supp) % 5) % 80)::INT) FOR j IN [0, 1, 2, 3, 4]] AS topk_chars FROM box)"""
+
+
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Characters with a true, a greedy, an LM and a final reading, and five candidates."""
+    ch = lambda n: text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + n)))
+    p, m, s = F.col("part"), F.col("line"), F.col("supp")
+    pick = lambda wrong, k: ch(F.when(wrong, (p + k) % 80).otherwise(p % 80))
+    top = F.array(*[ch((p + (j * s) % 5) % 80) for j in range(5)])
+    return boxes(spark, d).select("page", F.col("idx").alias("pos"), ch(p % 80).alias("gt"), pick(p % 7 == 0, 1).alias("greedy"), pick((p + m) % 11 == 0, 2).alias("lm"), pick((p + m) % 13 == 0, 2).alias("final"), top.alias("topk_chars"))
+
+
+PIX = f"pix AS (SELECT page AS image, (idx // 16)::INT AS y, (idx % 16)::INT AS x, (part % 256)::INT AS r, ((part * 7 + supp) % 256)::INT AS g, ((supp * 13 + line * 29) % 256)::INT AS b FROM box)"
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Small images, 16 pixels wide, from lineitem."""
+    p, s, m = F.col("part"), F.col("supp"), F.col("line")
+    return boxes(spark, d).select(F.col("page").alias("image"), F.floor(F.col("idx") / 16).cast("int").alias("y"), (F.col("idx") % 16).alias("x"), (p % 256).cast("int").alias("r"), ((p * 7 + s) % 256).cast("int").alias("g"), ((s * 13 + m * 29) % 256).cast("int").alias("b"))
+
+
+SIZES = "sizes AS (SELECT p_partkey AS page, (500 + p_size * 37)::INT AS width, (400 + (p_partkey * 53) % 1700)::INT AS height FROM part)"
+
+
+def page_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("page"), (500 + F.col("p_size") * 37).cast("int").alias("width"), (400 + (F.col("p_partkey") * 53) % 1700).cast("int").alias("height"))
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# --- confidence -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {REC} SELECT count(*) AS total, count(DISTINCT char) AS distinct_chars, max(prob) AS max_conf, min(prob) AS min_conf, round(avg(prob), 6) AS mean_conf, round(median(prob), 6) AS median_conf, round(stddev_samp(prob), 6) AS std_conf FROM rec")
+def conf_summary(spark, d):
+    return _r(confidence.summary(recognitions(spark, d)), "mean_conf", "median_conf", "std_conf")
+
+
+@query(f"""WITH {REC}, b(bin) AS (VALUES ('0.9-1.0'), ('0.8-0.9'), ('0.7-0.8'), ('0.6-0.7'), ('0.5-0.6'), ('0.0-0.5')),
+c AS (SELECT CASE WHEN prob >= 0.9 THEN '0.9-1.0' WHEN prob >= 0.8 THEN '0.8-0.9' WHEN prob >= 0.7 THEN '0.7-0.8' WHEN prob >= 0.6 THEN '0.6-0.7' WHEN prob >= 0.5 THEN '0.5-0.6' ELSE '0.0-0.5' END AS bin, count(*) AS n FROM rec GROUP BY 1)
+SELECT bin, coalesce(n, 0)::BIGINT AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM rec), 6)::DOUBLE AS percent FROM b LEFT JOIN c USING (bin)""")
+def conf_histogram(spark, d):
+    return _r(confidence.histogram(recognitions(spark, d)), "percent")
+
+
+_FOLDER = "f AS (SELECT folder, count(*) AS n, round(avg(prob), 6) AS mean_conf, min(prob) AS min_conf, max(prob) AS max_conf FROM rec GROUP BY folder)"
+
+
+@query(f"WITH {REC}, {_FOLDER} SELECT * FROM f ORDER BY n DESC, folder LIMIT 20")
+def conf_by_folder_top20(spark, d):
+    return _r(confidence.largest_folders(recognitions(spark, d)), "mean_conf")
+
+
+@query(f"WITH {REC}, {_FOLDER} SELECT * FROM f ORDER BY min_conf, folder LIMIT 10")
+def conf_worst10_folders(spark, d):
+    return _r(confidence.weakest_folders(recognitions(spark, d)), "mean_conf")
+
+
+@query(f"WITH {REC} SELECT * FROM rec WHERE prob < 0.5 ORDER BY prob, folder, pos LIMIT 30")
+def low_conf_sorted30(spark, d):
+    return confidence.low_confidence(recognitions(spark, d)).orderBy("prob", "folder", "pos").limit(30)
+
+
+@query(f"WITH {REC} SELECT * FROM rec WHERE prob < 0.5 ORDER BY folder, pos LIMIT 30")
+def low_conf_scan30(spark, d):
+    return confidence.low_confidence(recognitions(spark, d)).orderBy("folder", "pos").limit(30)
+
+
+@query(f"WITH {REC} SELECT count(*) FILTER (WHERE prob < 0.5) AS low, count(*) AS total, round(100.0 * count(*) FILTER (WHERE prob < 0.5) / count(*), 6)::DOUBLE AS percent FROM rec")
+def low_conf_share(spark, d):
+    return _r(confidence.low_confidence_share(recognitions(spark, d)), "percent")
+
+
+@query(f"WITH {REC} SELECT char, count(*) AS n, round(avg(prob), 6) AS mean_conf, min(prob) AS min_conf, max(prob) AS max_conf FROM rec GROUP BY char")
+def char_confidence(spark, d):
+    return _r(confidence.by_char(recognitions(spark, d)), "mean_conf")
+
+
+_CHARS = "chars AS (SELECT doc_id, unnest(string_split(text, '')) AS char, unnest(range(length(text))) AS pos FROM documents WHERE text <> '')"
+
+
+def doc_chars(spark, d) -> DataFrame:
+    return documents(spark, d).select("doc_id", F.posexplode(text.characters(F.col("text"))).alias("pos", "char"))
+
+
+@query("""WITH c AS (SELECT doc_id, string_split(text, '') AS cs FROM documents WHERE text <> ''), chars AS (SELECT doc_id, unnest(range(len(cs))) AS pos, unnest(cs) AS char FROM c),
+t AS (SELECT char, count(*) AS n, min(doc_id * 100000000 + pos) AS seen FROM chars GROUP BY char)
+SELECT char, n, round(100.0 * n / (SELECT sum(n) FROM t), 6)::DOUBLE AS percent, (row_number() OVER (ORDER BY n DESC, seen))::INT AS rank FROM t ORDER BY n DESC, seen LIMIT 30""")
+def char_freq_top30(spark, d):
+    return _r(confidence.most_common(doc_chars(spark, d), 30, ["doc_id", "pos"]), "percent")
+
+
+@query("SELECT count(DISTINCT c) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')")
+def distinct_chars(spark, d):
+    return doc_chars(spark, d).agg(F.countDistinct("char").alias("n"))
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.char'), '?') AS char, coalesce(CAST(json_extract(props, '$.prob') AS DOUBLE), 0.0) AS prob, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events""")
+def json_defaults(spark, d):
+    parsed = _table(spark, d, "events").select("event_id", F.from_json("props", "char string, prob double, k bigint").alias("p"))
+    return confidence.with_defaults(parsed.select("event_id", "p.char", "p.prob", F.coalesce("p.k", F.lit(-1)).alias("k")))
+
+
+@query(f"WITH {REC}, f AS (SELECT DISTINCT folder FROM rec), a(folder) AS (SELECT unnest(range(0, 400))) SELECT a.folder, CASE WHEN f.folder IS NULL THEN 'failed' ELSE 'ok' END AS status FROM a LEFT JOIN f USING (folder)")
+def folder_status(spark, d):
+    return confidence.folder_status(spark.range(400).select(F.col("id").alias("folder")), recognitions(spark, d))
+
+
+@query()
+def confidence_report(spark, d):
+    return confidence.report(recognitions(spark, d))
+
+
+# --- layout and tiles -----------------------------------------------------------------------------------------------
+
+_ORDER = f"""{BOX}, m AS (SELECT page, greatest(floor(median(greatest(1, x2 - x1)) * 0.8)::INT, 5) AS gap FROM box GROUP BY page),
+a AS (SELECT box.*, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy, gap FROM box JOIN m USING (page)),
+n AS (SELECT *, CASE WHEN abs(cx - lag(cx) OVER w) > gap THEN 1 ELSE 0 END AS nw FROM a WINDOW w AS (PARTITION BY page ORDER BY cx DESC, idx)),
+c AS (SELECT *, sum(nw) OVER (PARTITION BY page ORDER BY cx DESC, idx ROWS UNBOUNDED PRECEDING)::INT AS col_id FROM n),
+ordered AS (SELECT page, idx, x1, y1, x2, y2, char, part, supp, line, col_id, (row_number() OVER (PARTITION BY page ORDER BY col_id, cy, idx) - 1)::INT AS pos FROM c)"""
+
+
+@query(f"WITH {_ORDER} SELECT page, idx, col_id, pos FROM ordered")
+def reading_order(spark, d):
+    return layout.reading_order(boxes(spark, d)).select("page", "idx", "col_id", "pos")
+
+
+def _islands_sql(a: str, b: str) -> str:
+    return f"""WITH {BOX}, m AS (SELECT page, {a} AS s, {b} AS e, CASE WHEN {a} > max({b}) OVER (PARTITION BY page ORDER BY {a}, {b} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM box WHERE part % 29 = 0 AND {b} > {a}),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY page ORDER BY s, e ROWS UNBOUNDED PRECEDING)::INT AS island FROM m)
+SELECT page, island, min(s) AS start, max(e) AS "end", count(*) AS members FROM i GROUP BY page, island"""
+
+
+@query(_islands_sql("y1", "y2"))
+def projection_islands_y(spark, d):
+    return layout.islands(boxes(spark, d).where("part % 29 = 0"), ["page"], "y1", "y2")
+
+
+@query(_islands_sql("x1", "x2"))
+def projection_islands_x(spark, d):
+    return layout.islands(boxes(spark, d).where("part % 29 = 0"), ["page"], "x1", "x2")
+
+
+@query()
+def xy_cut_order(spark, d):
+    return layout.xy_cut(boxes(spark, d))
+
+
+_RAW = f"""{BOX}, raw AS (SELECT page, idx, (part * 37 % 1300) / 2.0 - 20 AS x, (supp * 53 % 1300) / 2.0 - 20 AS y, (part % 90) / 2.0 AS w, (supp % 90) / 2.0 AS h FROM box),
+l AS (SELECT page, idx, x, y, w, h, least(greatest(round_even(x, 0)::INT, 0), 599) AS x1, least(greatest(round_even(y, 0)::INT, 0), 599) AS y1 FROM raw),
+clamped AS (SELECT page, idx, x1, y1, greatest(least(round_even(x + w, 0)::INT, 600), x1 + 1) AS x2, greatest(least(round_even(y + h, 0)::INT, 600), y1 + 1) AS y2 FROM l)"""
+
+
+def _clamped(spark, d) -> DataFrame:
+    raw = boxes(spark, d).select("page", "idx", ((F.col("part") * 37 % 1300) / 2.0 - 20).alias("x"), ((F.col("supp") * 53 % 1300) / 2.0 - 20).alias("y"), ((F.col("part") % 90) / 2.0).alias("w"), ((F.col("supp") % 90) / 2.0).alias("h"))
+    return raw.select("page", "idx", *[c.alias(n) for n, c in geometry.clamp_box(*[F.col(c) for c in "xywh"], F.lit(600), F.lit(600)).items()])
+
+
+@query(f"WITH {_RAW} SELECT * FROM clamped")
+def clamp_boxes(spark, d):
+    return _clamped(spark, d)
+
+
+@query(f"WITH {_RAW} SELECT page, printf('char_%04d.png', idx) AS char_id, x2 - x1 AS width, y2 - y1 AS height FROM clamped WHERE x2 - x1 >= 2 AND y2 - y1 >= 2")
+def min_size_crops(spark, d):
+    sized = _clamped(spark, d).select("page", F.format_string("char_%04d.png", F.col("idx")).alias("char_id"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"))
+    return sized.where("width >= 2 AND height >= 2")
+
+
+def _tiles_sql(pad: int) -> str:
+    return f"""WITH {SIZES}, s AS (SELECT page, width + {2 * pad} AS w, height + {2 * pad} AS h FROM sizes), n AS (SELECT *, ceil(greatest(w - 640, 0) / 320.0)::INT AS nx, ceil(greatest(h - 640, 0) / 320.0)::INT AS ny FROM s),
+y AS (SELECT *, unnest(range(ny + 1)) AS j FROM n), x AS (SELECT *, unnest(range(nx + 1)) AS i FROM y)
+SELECT page, (j * (nx + 1) + i)::INT AS tile_idx, (i * 320 - {pad})::INT AS x0, (j * 320 - {pad})::INT AS y0, least(640, w - i * 320)::INT AS w, least(640, h - j * 320)::INT AS h FROM x"""
+
+
+@query(_tiles_sql(320))
+def tiles_padded(spark, d):
+    return tiling.tiles(page_sizes(spark, d), pad=320)
+
+
+@query(_tiles_sql(0))
+def tiles_plain(spark, d):
+    return tiling.tiles(page_sizes(spark, d))
+
+
+@query(f"WITH {SIZES}, y AS (SELECT *, unnest(range(0, height, 64)) AS y0 FROM sizes), x AS (SELECT *, unnest(range(0, width, 64)) AS x0 FROM y) SELECT page, x0::INT AS x0, y0::INT AS y0, least(128, width - x0)::INT AS w, least(128, height - y0)::INT AS h FROM x")
+def uniform_patches(spark, d):
+    return tiling.uniform_patches(page_sizes(spark, d))
+
+
+def _starts_sql(size: str) -> str:
+    return f"list_distinct([greatest(0, least(i * coalesce(ceil(({size} - 500) / nullif(ceil({size} / 500.0) - 1, 0))::INT, 0), {size} - 500)) FOR i IN range(greatest(ceil({size} / 500.0)::INT, 1))])"
+
+
+@query(f"WITH {SIZES}, y AS (SELECT *, unnest({_starts_sql('height')}) AS y0 FROM sizes) SELECT page, unnest({_starts_sql('width')})::INT AS x0, y0::INT AS y0 FROM y")
+def adaptive_grid(spark, d):
+    return tiling.adaptive_grid(page_sizes(spark, d), 500)
+
+
+@query(f"""WITH {BOX}, g AS (SELECT page, idx, x1 * 2 AS x1, y1 * 2 AS y1, x2 * 2 AS x2, y2 * 2 AS y2 FROM box), t AS (SELECT (j * 3 + i)::INT AS tile_idx, i * 320 AS x0, j * 320 AS y0 FROM (SELECT unnest(range(3)) AS j), (SELECT unnest(range(3)) AS i)),
+m AS (SELECT page, idx, tile_idx, greatest(x1 - x0, 0)::INT AS tx1, greatest(y1 - y0, 0)::INT AS ty1, least(x2 - x0, least(640, 1280 - x0))::INT AS tx2, least(y2 - y0, least(640, 1280 - y0))::INT AS ty2 FROM g, t
+ WHERE (x1 + x2) / 2.0 >= x0 AND (x1 + x2) / 2.0 < x0 + least(640, 1280 - x0) AND (y1 + y2) / 2.0 >= y0 AND (y1 + y2) / 2.0 < y0 + least(640, 1280 - y0))
+SELECT *, [tx1, ty1, tx2, ty1, tx2, ty2, tx1, ty2] AS polygon FROM m WHERE tx2 - tx1 >= 2 AND ty2 - ty1 >= 2""")
+def tile_box_clip(spark, d):
+    g = boxes(spark, d).select("page", "idx", *[(F.col(c) * 2).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(1280).alias("width"), F.lit(1280).alias("height"))
+    placed = tiling.tiles_of_boxes(g).select("page", "idx", "tile_idx", *[F.col(c).cast("int").alias(c) for c in ("tx1", "ty1", "tx2", "ty2")])
+    return placed.withColumn("polygon", geometry.polygon({k: F.col(f"t{k}") for k in ("x1", "y1", "x2", "y2")}))
+
+
+@query(f"""WITH {BOX}, z AS (SELECT page, idx, x1, y1, x2, y2, 500 + part % 140 AS w, 500 + supp % 140 AS h FROM box)
+SELECT page, idx FROM z WHERE floor((x1 + x2) / 2.0) BETWEEN floor(w * 0.25) AND floor(w * 0.75) AND floor((y1 + y2) / 2.0) BETWEEN floor(h * 0.25) AND floor(h * 0.75) AND x1 >= 0 AND y1 >= 0 AND x2 <= 560 AND y2 <= 560 AND x1 < x2 AND y1 < y2""")
+def centre_zone_filter(spark, d):
+    z = boxes(spark, d).withColumns({"w": 500 + F.col("part") % 140, "h": 500 + F.col("supp") % 140})
+    return tiling.within_page(tiling.centre_zone(z), F.lit(560), F.lit(560)).select("page", "idx")
+
+
+# --- detection ------------------------------------------------------------------------------------------------------
+
+_IOU = "CASE WHEN least({a}x2, {b}x2) > greatest({a}x1, {b}x1) AND least({a}y2, {b}y2) > greatest({a}y1, {b}y1) THEN (least({a}x2, {b}x2) - greatest({a}x1, {b}x1)) * (least({a}y2, {b}y2) - greatest({a}y1, {b}y1))::DOUBLE / (({a}x2 - {a}x1) * ({a}y2 - {a}y1) + ({b}x2 - {b}x1) * ({b}y2 - {b}y1) - (least({a}x2, {b}x2) - greatest({a}x1, {b}x1)) * (least({a}y2, {b}y2) - greatest({a}y1, {b}y1))) ELSE 0 END"
+
+
+@query(f"""WITH {BOX}, g AS (SELECT page, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'idx': idx}} ORDER BY score DESC, idx) AS bs FROM box GROUP BY page),
+k AS (SELECT page, unnest(list_reduce(bs[2:], lambda acc, b: CASE WHEN len(list_filter(acc, lambda k: {_IOU.format(a='k.', b='b.')} > 0.45)) > 0 THEN acc ELSE list_append(acc, b) END, bs[:1])) AS b FROM g)
+SELECT page, b.idx AS idx, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2 FROM k""")
+def nms_keep(spark, d):
+    return detect.suppress(boxes(spark, d), ["page"], 0.45).select("page", "idx", "x1", "y1", "x2", "y2")
+
+
+_MATCH = f"""{BOX}, t AS (SELECT page, idx, x1, y1, x2, y2, char FROM box WHERE part % 2 = 1), p AS (SELECT page, idx, x1 + part % 5 AS x1, y1 + supp % 5 AS y1, x2 + part % 5 AS x2, y2 + supp % 5 AS y2, chr((12354 + (part - (supp % 3 > 0)::INT) % 80)::INT) AS char, score / 110000 AS conf FROM box WHERE part % 2 = 0 OR part % 3 = 1),
+pairs AS (SELECT t.page, t.idx AS t_idx, t.char AS t_char, p.idx AS p_idx, p.char AS p_char, p.conf AS p_conf, {_IOU.format(a='t.', b='p.')} AS iou FROM t JOIN p ON t.page = p.page AND t.x1 < p.x2 AND p.x1 < t.x2 AND t.y1 < p.y2 AND p.y1 < t.y2),
+best AS (SELECT * FROM pairs WHERE iou > 0.5 QUALIFY row_number() OVER (PARTITION BY page, t_idx ORDER BY iou DESC, p_idx) = 1)"""
+
+
+def _matching(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = boxes(spark, d)
+    part, supp = F.col("part"), F.col("supp")
+    shift = {"x1": part % 5, "y1": supp % 5, "x2": part % 5, "y2": supp % 5}
+    t = b.where("part % 2 = 1").select("page", "idx", "x1", "y1", "x2", "y2", "char")
+    char = text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + (part - (supp % 3 > 0).cast("int")) % 80)))
+    p = b.where("part % 2 = 0 OR part % 3 = 1").select("page", "idx", *[(F.col(c) + s).cast("int").alias(c) for c, s in shift.items()], char.alias("char"), (F.col("score") / 110000).alias("conf"))
+    return t, p, detect.candidate_pairs(t, p)
+
+
+@query(f"WITH {_MATCH} SELECT page, t_idx, p_idx, round(iou, 6) AS iou FROM best")
+def iou_match_gt(spark, d):
+    return _r(detect.best_for_truth(_matching(spark, d)[2]).select("page", "t_idx", "p_idx", "iou"), "iou")
+
+
+@query(f"""WITH {_MATCH}, bp AS (SELECT * FROM pairs WHERE iou > 0.5 QUALIFY row_number() OVER (PARTITION BY page, p_idx ORDER BY iou DESC, t_idx) = 1)
+SELECT p.page, p.idx, bp.t_idx, coalesce(bp.t_char, '') AS gt_char, round(bp.iou, 6) AS iou FROM p LEFT JOIN bp ON p.page = bp.page AND p.idx = bp.p_idx""")
+def iou_match_pred(spark, d):
+    _, p, pairs = _matching(spark, d)
+    return _r(detect.best_for_prediction(p, pairs).select("page", "idx", "t_idx", F.coalesce("t_char", F.lit("")).alias("gt_char"), "iou"), "iou")
+
+
+@query(f"""WITH {_MATCH}, c AS (SELECT page, 1 AS g, 0 AS p, 0 AS ok FROM t UNION ALL SELECT page, 0, 1, 0 FROM p UNION ALL SELECT page, 0, 0, (t_char = p_char)::INT FROM best),
+s AS (SELECT CASE WHEN grouping(page) = 1 THEN 'TOTAL' ELSE page::VARCHAR END AS image, sum(g)::BIGINT AS gt_count, sum(p)::BIGINT AS pred_count, sum(ok)::BIGINT AS correct FROM c GROUP BY ROLLUP (page)),
+r AS (SELECT *, CASE WHEN gt_count > 0 THEN 100.0 * correct / gt_count ELSE 0 END::DOUBLE AS recall, CASE WHEN pred_count > 0 THEN 100.0 * correct / pred_count ELSE 0 END::DOUBLE AS precision FROM s)
+SELECT image, gt_count, pred_count, correct, round(recall, 6) AS recall, round(precision, 6) AS precision, round(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 6) AS f1 FROM r""")
+def f1_per_page_total(spark, d):
+    t, p, pairs = _matching(spark, d)
+    return _r(detect.f1_table(t, p, detect.best_for_truth(pairs)), "recall", "precision", "f1")
+
+
+@query(f"""WITH {_MATCH} SELECT t_char = p_char AS is_ok, count(*) AS n, round(avg(p_conf), 6) AS mean_conf, round(median(p_conf), 6) AS median_conf, round(quantile_cont(p_conf, 0.9), 6) AS p90_conf, count(*) FILTER (WHERE p_conf < 0.5) AS below_half, count(*) FILTER (WHERE p_conf > 0.8) AS above_08 FROM best GROUP BY 1""")
+def match_conf_stats(spark, d):
+    return _r(detect.confidence_by_outcome(detect.best_for_truth(_matching(spark, d)[2])), "mean_conf", "median_conf", "p90_conf")
+
+
+@query("WITH s AS (SELECT DISTINCT source FROM documents) SELECT a.source AS a, b.source AS b FROM s a, s b WHERE contains(a.source, b.source) OR contains(b.source, a.source)")
+def image_name_substring(spark, d):
+    names = _table(spark, d, "documents").select("source").distinct()
+    a, b = names.select(F.col("source").alias("a")), names.select(F.col("source").alias("b"))
+    return a.join(F.broadcast(b), detect.same_image(F.col("a"), F.col("b"), substring=True))  # a few dozen names
+
+
+# --- alignment and accuracy -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_ORDER}, truth AS (SELECT page, idx AS pos, char AS gt FROM box WHERE page % 5 <> 0 OR idx > 0), same AS (SELECT page FROM (SELECT page, count(*) AS b FROM ordered GROUP BY page) JOIN (SELECT page, count(*) AS t FROM truth GROUP BY page) USING (page) WHERE b = t)
+SELECT page % 10 AS book, count(*) AS n, round(avg((char = gt)::INT), 6) AS greedy_acc FROM ordered SEMI JOIN same USING (page) JOIN truth USING (page, pos) GROUP BY 1""")
+def align_accuracy(spark, d):
+    b = boxes(spark, d)
+    ordered = layout.reading_order(b).select("page", "pos", F.col("char").alias("greedy"))
+    truth = b.where("page % 5 <> 0 OR idx > 0").select("page", F.col("idx").alias("pos"), F.col("char").alias("gt"))
+    return _r(evalstats.accuracy(evalstats.align(ordered, truth).withColumn("book", F.col("page") % 10), ["book"]), "greedy_acc")
+
+
+_STATUS = f"""{BOX}, pages AS (SELECT DISTINCT page FROM box), truth AS (SELECT page, idx FROM box WHERE page % 7 <> 0 AND (page % 5 <> 0 OR idx > 0)), bx AS (SELECT page FROM box WHERE page % 11 <> 0),
+s AS (SELECT page, coalesce(nb, 0) AS n_boxes, coalesce(nt, 0) AS n_chars FROM pages LEFT JOIN (SELECT page, count(*) AS nb FROM bx GROUP BY page) USING (page) LEFT JOIN (SELECT page, count(*) AS nt FROM truth GROUP BY page) USING (page)),
+st AS (SELECT *, CASE WHEN n_chars = 0 THEN 'no_text' WHEN n_boxes = 0 THEN 'no_boxes' WHEN n_boxes <> n_chars THEN 'length_mismatch' ELSE 'evaluated' END AS status FROM s)"""
+
+
+@query(f"WITH {_STATUS} SELECT status, count(*) AS pages, sum(n_boxes)::BIGINT AS boxes, sum(n_chars)::BIGINT AS chars FROM st GROUP BY status")
+def page_status(spark, d):
+    b = boxes(spark, d)
+    st = evalstats.page_status(b, b.where("page % 11 <> 0"), b.where("page % 7 <> 0 AND (page % 5 <> 0 OR idx > 0)"))
+    return st.groupBy("status").agg(F.count(F.lit(1)).alias("pages"), F.sum("n_boxes").alias("boxes"), F.sum("n_chars").alias("chars"))
+
+
+_OUT = "CASE WHEN greedy = gt AND final = gt THEN 'ok' WHEN greedy <> gt AND final = gt THEN 'fix' WHEN greedy = gt THEN 'worse' ELSE 'bothx' END"
+
+
+@query(f"""WITH {DEC}, o AS (SELECT {_OUT} AS o FROM dec), c AS (SELECT count(*) AS total, count(*) FILTER (WHERE o = 'ok') AS ok, count(*) FILTER (WHERE o = 'fix') AS fix, count(*) FILTER (WHERE o = 'worse') AS worse, count(*) FILTER (WHERE o = 'bothx') AS bothx FROM o)
+SELECT *, round(coalesce(fix / nullif(fix + bothx, 0), 0), 6)::DOUBLE AS repair_rate FROM c""")
+def outcome_tally(spark, d):
+    return _r(evalstats.outcome_tally(decoded(spark, d)), "repair_rate")
+
+
+@query(f"""WITH {DEC}, o AS (SELECT *, {_OUT} AS o FROM dec), c AS (SELECT gt AS char_gt, count(*) AS "count", count(*) FILTER (WHERE o = 'ok') AS ok, count(*) FILTER (WHERE o = 'fix') AS fix, count(*) FILTER (WHERE o = 'worse') AS worse, count(*) FILTER (WHERE o = 'bothx') AS bothx,
+ count(*) FILTER (WHERE greedy <> gt) AS greedy_err, count(*) FILTER (WHERE lm <> gt) AS kenlm_err, count(*) FILTER (WHERE final <> gt) AS final_err, count(*) FILTER (WHERE list_contains(topk_chars[1:3], gt)) AS "oracle_in_topK" FROM o GROUP BY gt HAVING count(*) >= 20)
+SELECT *, round(greedy_err / "count", 6) AS greedy_miss_rate, round(kenlm_err / "count", 6) AS kenlm_miss_rate, round(final_err / "count", 6) AS final_miss_rate, round("oracle_in_topK" / "count", 6) AS oracle_rate, round(fix / "count", 6) AS fix_rate_total, round(worse / "count", 6) AS worse_rate_total, round(bothx / "count", 6) AS bothx_rate_total, round(coalesce(fix / nullif(fix + bothx, 0), 0), 6) AS repair_rate_char FROM c""")
+def char_stats(spark, d):
+    rates = ("greedy_miss_rate", "kenlm_miss_rate", "final_miss_rate", "oracle_rate", "fix_rate_total", "worse_rate_total", "bothx_rate_total", "repair_rate_char")
+    return _r(evalstats.char_stats(decoded(spark, d), k=3, min_count=20), *rates)
+
+
+@query(f"""WITH {DEC}, c AS (SELECT gt, final AS pred, count(*) AS "count", min(page * 100000 + pos) AS seen FROM dec GROUP BY 1, 2 HAVING count(*) >= 3) SELECT gt, pred, "count", (gt = pred)::INT AS is_correct FROM c ORDER BY "count" DESC, seen LIMIT 100""")
+def confusion_top(spark, d):
+    return evalstats.confusion(decoded(spark, d), min_pair=3, n=100)
+
+
+@query(f"WITH {DEC}, k AS (SELECT unnest([1, 2, 3, 5]) AS k) SELECT k::INT AS k, count(*) FILTER (WHERE list_contains(topk_chars[1:k], gt)) AS hits, count(*) AS total, round(count(*) FILTER (WHERE list_contains(topk_chars[1:k], gt)) / count(*), 6) AS rate FROM dec, k GROUP BY k")
+def oracle_at_k(spark, d):
+    return _r(evalstats.oracle_at_k(decoded(spark, d), [1, 2, 3, 5]), "rate")
+
+
+@query(f"WITH {DEC} SELECT page, pos, greedy || gt || lm || final AS label, CASE {_OUT} WHEN 'fix' THEN 'green' WHEN 'worse' THEN 'red' WHEN 'bothx' THEN 'yellow' ELSE 'grey' END AS colour FROM dec")
+def annotation_table(spark, d):
+    return evalstats.annotations(decoded(spark, d)).select("page", "pos", "label", "colour")
+
+
+@query(f"""WITH {BOX}, b AS (SELECT page, count(*) AS bbox_n, count(*) FILTER (WHERE part % 17 = 0) AS unknown_n FROM box GROUP BY page), t AS (SELECT doc_id AS page, text, length(regexp_replace(text, '[\\s\\p{{Z}}\\x00-\\x1f\\x7f\\x85]', '', 'g')) AS gt_n FROM documents)
+SELECT page, bbox_n, unknown_n, coalesce(gt_n, 0)::BIGINT AS gt_n, coalesce(gt_n, 0) = 0 AS blank, (bbox_n - coalesce(gt_n, 0))::BIGINT AS diff FROM b LEFT JOIN t USING (page)""")
+def bbox_text_check(spark, d):
+    b = boxes(spark, d).groupBy("page").agg(F.count(F.lit(1)).alias("bbox_n"), F.count_if(F.col("part") % 17 == 0).alias("unknown_n"))
+    t = documents(spark, d).select(F.col("doc_id").alias("page"), F.length(text.strip_invisible(F.col("text"))).cast("long").alias("gt_n"))
+    both = b.join(t, "page", "left").withColumn("gt_n", F.coalesce("gt_n", F.lit(0).cast("long")))
+    return both.withColumns({"blank": F.col("gt_n") == 0, "diff": F.col("bbox_n") - F.col("gt_n")})
+
+
+# --- recognition ----------------------------------------------------------------------------------------------------
+
+_COS = """w AS (SELECT label, k, avg(v::DOUBLE) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY label, k),
+ws AS (SELECT label, list(v ORDER BY k) AS w FROM w GROUP BY label), c AS (SELECT vec_id, e.label, ws.label AS class_id, 16 * list_dot_product(embedding::DOUBLE[], w) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(w, w))) AS z FROM embeddings e, ws),
+l AS (SELECT *, z - m - ln(sum(exp(z - m)) OVER (PARTITION BY vec_id)) AS logp FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM c)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logp DESC, class_id) AS k FROM l)"""
+
+
+def _topk(spark, d, k=5) -> DataFrame:
+    e = _table(spark, d, "embeddings")
+    return recognise.topk_candidates(e, recognise.class_weights(e), k)
+
+
+@query(f"WITH {_COS} SELECT vec_id, k::INT AS k, class_id, round(logp, 5) AS logp FROM r WHERE k <= 3")
+def cosine_topk(spark, d):
+    flat = _topk(spark, d, 3).select("vec_id", F.posexplode("topk").alias("_k", "t"))
+    return _r(flat.select("vec_id", (F.col("_k") + 1).alias("k"), F.col("t.class_id").alias("class_id"), F.col("t.logp").alias("logp")), "logp", digits=5)
+
+
+@query(f"WITH {_COS} SELECT count(*) AS n, round(avg((label = class_id)::INT), 6) AS accuracy FROM r WHERE k = 1")
+def cosine_greedy_acc(spark, d):
+    return _topk(spark, d, 1).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.get("topk", F.lit(0))["class_id"] == F.col("label")).cast("int")), 6).alias("accuracy"))
+
+
+@query(f'WITH {_COS} SELECT label AS gt, class_id AS pred, count(*) AS "count" FROM r WHERE k = 1 GROUP BY 1, 2')
+def class_confusion(spark, d):
+    return _topk(spark, d, 1).groupBy(F.col("label").alias("gt"), F.get("topk", F.lit(0))["class_id"].alias("pred")).agg(F.count(F.lit(1)).alias("count"))
+
+
+@query(f"""WITH {BOX}, e AS (SELECT page, idx, chr((12354 + (part * j) % 3)::INT) AS char, -((part * (j + 1)) % 17) / 4.0 AS logp FROM box, (SELECT unnest([0, 1, 2, 3, 4]) AS j)) SELECT page, idx, char, max(logp)::DOUBLE AS logp FROM e GROUP BY page, idx, char""")
+def best_logp_per_char(spark, d):
+    ch = lambda n: text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + n)))
+    p = F.col("part")
+    top = F.array(*[F.struct(ch((p * j) % 3).alias("char"), (-((p * (j + 1)) % 17) / 4.0).alias("logp")) for j in range(5)])
+    return boxes(spark, d).select("page", "idx", F.explode(arrays.best_by_char(top)).alias("t")).select("page", "idx", "t.*")
+
+
+# --- text and language models ---------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x0b\x1c-\x1f\x85]', '', 'g')) AS digest, length(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x0b\x1c-\x1f\x85]', '', 'g')) AS n FROM documents")
+def strip_ws(spark, d):
+    clean = text.strip_white_space(F.col("text"))
+    return documents(spark, d).select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x00-\x1f\x7f\x85\x{200b}-\x{200d}\x{2060}\x{feff}\x{ad}]', '', 'g')) AS digest FROM documents")
+def strip_invisible(spark, d):
+    return documents(spark, d).select("doc_id", F.md5(text.strip_invisible(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_reverse(string_split(coalesce(text, ''), ' ')), ' ')) AS by_token, md5(CASE WHEN coalesce(text, '') = '' THEN '' ELSE array_to_string(string_split(replace(text, ' ', ''), ''), ' ') END) AS spaced FROM documents WHERE contains(text, ' ')")
+def reverse_join_chars(spark, d):
+    docs = documents(spark, d).where(F.contains(F.col("text"), F.lit(" ")))
+    return docs.select("doc_id", F.md5(text.reversed_text(F.col("text"))).alias("by_token"), F.md5(text.spaced(F.replace("text", F.lit(" "), F.lit("")))).alias("spaced"))
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS n_e, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'th', ''))) // 2 AS n_th FROM documents")
+def count_target(spark, d):
+    return documents(spark, d).select("doc_id", text.count_of(F.col("text"), "e").alias("n_e"), text.count_of(F.col("text"), "th").alias("n_th"))
+
+
+@query("SELECT p_partkey, chr((CASE WHEN p_partkey % 3 = 0 THEN 131083 ELSE 12354 END + p_partkey % 80)::INT) AS char, 'U+ZZ' || p_partkey AS kept FROM part")
+def code_points(spark, d):
+    p = F.col("p_partkey")
+    n = F.when(p % 3 == 0, 131083).otherwise(12354) + p % 80
+    return _table(spark, d, "part").select("p_partkey", text.code_point_char(F.concat(F.lit("U+"), F.hex(n))).alias("char"), text.code_point_char(F.concat(F.lit("U+ZZ"), p.cast("string"))).alias("kept"))
+
+
+@query("SELECT doc_id, md5(array_to_string([substr(coalesce(text, ''), i * 80 + 1, 80) FOR i IN range(greatest(1, ceil(length(coalesce(text, '')) / 80.0)::INT))], chr(10))) AS digest FROM documents")
+def wrapped_lines(spark, d):
+    return documents(spark, d).select("doc_id", F.md5(text.wrapped(F.col("text"))).alias("digest"))
+
+
+@query("""WITH n AS (SELECT page_id, printf('%d_%05d_%d', page_id % 7, page_id, page_id % 2) AS name, url FROM pages) SELECT page_id, name, split_part(name, '_', 1) AS book, page_id AS seq, page_id % 2 AS side, regexp_extract(url, '[^/]*$') AS base FROM n""")
+def name_parts(spark, d):
+    p = F.col("page_id")
+    named = _table(spark, d, "pages").select("page_id", "url", F.format_string("%d_%05d_%d", p % 7, p, p % 2).alias("name"))
+    seq, side = text.page_numbers(F.col("name"))
+    return named.select("page_id", "name", text.book_of(F.col("name")).alias("book"), seq.alias("seq"), side.alias("side"), text.base_name(F.col("url")).alias("base"))
+
+
+@query("""WITH n AS (SELECT page_id, 'p' || (page_id * 37 % 1000) || '_' || page_id || '.png' AS name FROM pages) SELECT name, (row_number() OVER (ORDER BY page_id * 37 % 1000, page_id))::INT AS rank FROM n""")
+def natural_sort(spark, d):
+    p = F.col("page_id")
+    named = _table(spark, d, "pages").select(F.concat(F.lit("p"), p * 37 % 1000, F.lit("_"), p, F.lit(".png")).alias("name"))
+    return datasets.dense_ids(named.withColumn("_k", text.natural_key(F.col("name"))), ["_k"], "rank", 1).select("name", F.col("rank").cast("int").alias("rank"))
+
+
+@query("""WITH n AS (SELECT doc_id, coalesce(n_chars, 0) * coalesce(n_chars, 0) AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size FROM n""")
+def human_sizes(spark, d):
+    n = F.coalesce("n_chars", F.lit(0))
+    return _table(spark, d, "documents").select("doc_id", text.human_size(n * n).alias("size"))
+
+
+@query("""WITH c AS (SELECT string_split(text, '') AS cs FROM documents WHERE length(text) >= 3), g AS (SELECT unnest([cs[i] || ' ' || cs[i + 1] || ' ' || cs[i + 2] FOR i IN range(1, len(cs) - 1)]) AS gram FROM c) SELECT gram, count(*) AS n FROM g GROUP BY gram""")
+def ngram_counts(spark, d):
+    return lm.ngram_counts(documents(spark, d))
+
+
+_BIGRAM = """b AS (SELECT w1, w2, count(*) AS n FROM (SELECT unnest(cs[:-2]) AS w1, unnest(cs[2:]) AS w2 FROM (SELECT string_split(text, '') AS cs FROM documents WHERE length(text) >= 2)) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BIGRAM} SELECT w1, w2, n, round(log10(n / sum(n) OVER (PARTITION BY w1)), 6) AS log10_p FROM b")
+def bigram_logprob(spark, d):
+    return _r(lm.bigram_logprob(documents(spark, d)), "log10_p")
+
+
+def _decode_items(spark, d) -> DataFrame:
+    ch = lambda n: text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + n)))
+    p = F.col("part")
+    top = F.array(*[F.struct(ch((p + j) % 20).alias("char"), (-((p * (j + 2)) % 13) / 4.0).alias("logp")) for j in range(3)])
+    return boxes(spark, d).where("idx < 24").select("page", F.col("idx").alias("pos"), "part", top.alias("candidates"))
+
+
+def _decode_bigrams(spark, d) -> DataFrame:
+    chars = boxes(spark, d).where("idx < 24").groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", (F.col("part") % 20).alias("p")))), lambda s: text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + s["p"])))), "").alias("text"))
+    return lm.bigram_logprob(chars)
+
+
+@query()
+def beam_decode(spark, d):
+    out = decode.beam_search(_decode_items(spark, d), _decode_bigrams(spark, d))
+    return out.select("page", F.array_join("seq", "").alias("text"), F.round("score", 6).alias("score"))
+
+
+@query()
+def masked_rerank(spark, d):
+    """One pass over greedy readings, scored by how common the pair with the left neighbour is."""
+    bigrams = _decode_bigrams(spark, d).select(F.col("w1").alias("left"), F.col("w2").alias("char"), "log10_p")
+    scorer = lambda rows: rows.join(bigrams, ["left", "char"], "left").withColumn("mlm", F.coalesce("log10_p", F.lit(decode.FLOOR)))
+    return decode.masked_rerank(decode.greedy(_decode_items(spark, d)), scorer).select("page", "pos", "greedy", "final")
+
+
+@query()
+def backoff_model(spark, d):
+    head = documents(spark, d).select(F.col("source").alias("text"))
+    return lm.backoff_table(head).select("n", F.array_join("ctx", " ").alias("ctx"), "token", F.round("log10_p", 6).alias("log10_p"), F.round("log10_backoff", 6).alias("log10_backoff"))
+
+
+@query("""WITH l AS (SELECT length(text) AS n FROM documents WHERE length(text) >= 10) SELECT count(*) AS num_texts, min(n)::INT AS min_len, max(n)::INT AS max_len, round(avg(n), 6) AS mean_len, (SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM l) WHERE i = (SELECT count(*) // 2 + 1 FROM l))::INT AS median_len_approx FROM l""")
+def corpus_meta(spark, d):
+    return _r(lm.corpus_meta(documents(spark, d).where(F.length("text") >= 10)), "mean_len")
+
+
+@query(r"SELECT doc_id, md5(array_to_string(list_reverse(string_split(regexp_replace(text, '[\s\p{Z}\x0b\x1c-\x1f\x85]', '', 'g'), '')), ' ')) AS digest FROM documents WHERE length(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x0b\x1c-\x1f\x85]', '', 'g')) >= 20")
+def training_corpus(spark, d):
+    return lm.training_corpus(documents(spark, d), min_chars=20).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {BOX} SELECT page, idx, coalesce(lag(char, 1) OVER w, '<s>') AS prev1, coalesce(lag(char, 2) OVER w, '<s>') AS prev2 FROM box WINDOW w AS (PARTITION BY page ORDER BY idx)")
+def char_context(spark, d):
+    return lm.context(boxes(spark, d).select("page", "idx", "char"), pos="idx").select("page", "idx", "prev1", "prev2")
+
+
+# --- sets, splits, ids ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents SEMI JOIN pages ON doc_id = page_id ANTI JOIN labels USING (doc_id)")
+def pending_work(spark, d):
+    need = _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))
+    return datasets.pending(_table(spark, d, "documents").select("doc_id"), _table(spark, d, "labels"), "doc_id", [need])
+
+
+@query("SELECT count(l.doc_id) AS processed, count(*) - count(l.doc_id) AS remaining FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def work_progress(spark, d):
+    return datasets.progress(_table(spark, d, "documents").select("doc_id"), _table(spark, d, "labels"), "doc_id")
+
+
+_SPLITS = {"train": ["src0", "src1", "src2", "src3", "src4"], "val": ["src5", "src6"], "test": ["src7", "src8", "src99"]}
+_SPLIT_VALUES = ", ".join(f"('{s}', '{k}')" for s, ks in _SPLITS.items() for k in ks)
+
+
+@query(f"SELECT split, count(*) AS n FROM documents JOIN (VALUES {_SPLIT_VALUES}) s(split, source) USING (source) GROUP BY split")
+def split_membership(spark, d):
+    return datasets.split_members(_table(spark, d, "documents").select("source"), _SPLITS, "source").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT split, source FROM (VALUES {_SPLIT_VALUES}) s(split, source) ANTI JOIN documents USING (source)")
+def missing_ids(spark, d):
+    return datasets.missing_members(_table(spark, d, "documents"), _SPLITS, "source")
+
+
+@query("WITH h AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) - 1 AS r FROM h) SELECT doc_id, CASE WHEN r < greatest(1, floor((SELECT count(*) FROM h) * 0.1)) THEN 'val' ELSE 'train' END AS split FROM r")
+def hash_split_90_10(spark, d):
+    return datasets.validation_split(_table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
+
+
+@query("SELECT p_type AS cls, count(*) AS n, (row_number() OVER (ORDER BY p_type) - 1)::INT AS class_id, round(1.0 / count(*), 9)::DOUBLE AS weight FROM part GROUP BY p_type")
+def class_index_weights(spark, d):
+    return _r(datasets.class_index(_table(spark, d, "part").select(F.col("p_type").alias("cls"))), "weight", digits=9)
+
+
+@query()
+def weighted_draws(spark, d):
+    members = _table(spark, d, "part").select(F.col("p_type").alias("cls"), "p_partkey")
+    return datasets.weighted_draws(members, 1000, "p_partkey").select("draw", "cls", "p_partkey")
+
+
+@query(f"WITH {BOX} SELECT page, idx, row_number() OVER (ORDER BY page, idx) - 1 AS id FROM box")
+def global_ids(spark, d):
+    return datasets.dense_ids(boxes(spark, d).select("page", "idx"), ["page", "idx"]).select("page", "idx", F.col("id").cast("long").alias("id"))
+
+
+@query(f"WITH {REC}, f AS (SELECT folder::VARCHAR AS file, avg(prob) AS mean_conf, count(*)::DOUBLE AS n FROM rec GROUP BY folder) SELECT file, round(mean_conf, 6) AS mean_conf, round(n, 6) AS n FROM f UNION ALL SELECT 'MEAN', round(avg(mean_conf), 6), round(avg(n), 6) FROM f")
+def mean_row(spark, d):
+    rows = confidence.by_folder(recognitions(spark, d)).select(F.col("folder").alias("file"), "mean_conf", F.col("n").cast("double").alias("n"))
+    return _r(image_quality.mean_row(rows), "mean_conf", "n")
+
+
+@query("SELECT doc_id AS a, doc_id % 3 AS ext FROM documents WHERE doc_id % 3 < 2")
+def file_priority(spark, d):
+    ext = F.element_at(F.array(F.lit(".jpg"), F.lit(".png"), F.lit(".gif")), (F.col("doc_id") % 3 + 1).cast("int"))
+    every = _table(spark, d, "documents").select("doc_id", ext.alias("ext"))
+    more = every.where("doc_id % 3 = 0").withColumn("ext", F.lit(".PNG"))
+    return datasets.pick_by_priority(every.unionByName(more), "doc_id", [".jpg", ".png"]).select(F.col("doc_id").alias("a"), F.when(F.col("ext") == ".jpg", 0).otherwise(1).cast("long").alias("ext"))
+
+
+@query("SELECT user_id AS run, max(value) AS best FROM events GROUP BY user_id")
+def early_stopping(spark, d):
+    runs = _table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), "value")
+    return datasets.early_stop(runs, gain=0.0, patience=1_000_000).select("run", "best")
+
+
+def _coco(spark, d):
+    b = boxes(spark, d).select("page", "idx", "x1", "y1", "x2", "y2")
+    pages = b.select("page").distinct().withColumns({"width": F.lit(720), "height": F.lit(720)})
+    return datasets.coco(pages, b)
+
+
+@query(f"""WITH {BOX}, t AS (SELECT (j * 2 + i)::INT AS tile_idx, i * 320 AS x0, j * 320 AS y0, least(640, 720 - i * 320) AS w, least(640, 720 - j * 320) AS h FROM (SELECT unnest(range(2)) AS j), (SELECT unnest(range(2)) AS i)),
+m AS (SELECT DISTINCT page, tile_idx, w, h FROM box, t WHERE (x1 + x2) / 2.0 >= x0 AND (x1 + x2) / 2.0 < x0 + w AND (y1 + y2) / 2.0 >= y0 AND (y1 + y2) / 2.0 < y0 + h AND least(x2 - x0, w) - greatest(x1 - x0, 0) >= 2 AND least(y2 - y0, h) - greatest(y1 - y0, 0) >= 2)
+SELECT row_number() OVER (ORDER BY page, tile_idx) - 1 AS id, printf('%d_%03d.jpg', page, tile_idx) AS file_name, w::INT AS width, h::INT AS height FROM m""")
+def coco_images(spark, d):
+    return _coco(spark, d)[0].select(F.col("id").cast("long").alias("id"), "file_name", "width", "height")
+
+
+@query()
+def coco_annotations(spark, d):
+    return _coco(spark, d)[1].select("id", "image_id", "bbox", "area")
+
+
+# --- rasters --------------------------------------------------------------------------------------------------------
+
+_LUMA = "0.299e0 * r + 0.587e0 * g + 0.114e0 * b"
+
+
+@query(f"""WITH {BOX}, {PIX}, e AS (SELECT image, entropy(floor({_LUMA})::INT) AS entropy FROM pix GROUP BY image) SELECT image, round(kurtosis_pop(r) + 3, 5) AS "kurtosis_R", round(kurtosis_pop(g) + 3, 5) AS "kurtosis_G", round(kurtosis_pop(b) + 3, 5) AS "kurtosis_B", round(coalesce(stddev_pop(({_LUMA})::DOUBLE) FILTER (WHERE r > 100), stddev_pop(({_LUMA})::DOUBLE)), 5) AS brightness_std, round(any_value(entropy), 5) AS entropy FROM pix JOIN e USING (image) GROUP BY image""")
+def no_reference_quality(spark, d):
+    out = image_quality.no_reference(pixels(spark, d), background=F.col("r") > 100)
+    return _r(out, "kurtosis_R", "kurtosis_G", "kurtosis_B", "brightness_std", "entropy", digits=5)
+
+
+_OTSU = """h AS (SELECT image, r AS v, count(*) AS n FROM pix GROUP BY 1, 2), s AS (SELECT *, sum(n) OVER lo AS w0, sum(n * v) OVER lo AS s0, sum(n) OVER al AS w, sum(n * v) OVER al AS s FROM h WINDOW lo AS (PARTITION BY image ORDER BY v ROWS UNBOUNDED PRECEDING), al AS (PARTITION BY image)),
+var AS (SELECT image, v, round(coalesce(w0 * (w - w0) * power(s0 / w0 - (s - s0) / nullif(w - w0, 0), 2), 0), 3) AS q FROM s), otsu AS (SELECT image, v AS threshold FROM var QUALIFY row_number() OVER (PARTITION BY image ORDER BY q DESC, v) = 1)"""
+
+
+@query(f"WITH {BOX}, {PIX}, {_OTSU} SELECT image, threshold FROM otsu")
+def otsu_threshold(spark, d):
+    return raster.otsu(pixels(spark, d).withColumn("v", F.col("r")))
+
+
+@query(f"WITH {BOX}, {PIX}, {_OTSU} SELECT image, y, x, CASE WHEN EXISTS (SELECT 1 FROM pix q WHERE q.image = p.image AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.r <= threshold) THEN 0 ELSE 255 END AS m FROM pix p JOIN otsu USING (image)")
+def otsu_mask_dilated(spark, d):
+    p = pixels(spark, d).select("image", "y", "x", F.col("r").alias("v"))
+    return raster.dilate(raster.binary_mask(p, raster.otsu(p))).select("image", "y", "x", "m")
+
+
+@query("SELECT v::INT AS v, floor(pow(v / 255.0, 1 / 1.5) * 255.0)::INT AS out FROM (SELECT unnest(range(256)) AS v)")
+def gamma_lut(spark, d):
+    return spark.range(256).select(F.col("id").cast("int").alias("v"), numbers.gamma(F.col("id")).alias("out"))
+
+
+_PATCH = f"""{BOX}, {PIX}, patch AS (SELECT image, x - x % 4 - 4 * o AS x0, 0 AS y0, x % 4 + 4 * o AS px, y AS py, ((r + o * 50) % 256) AS v FROM pix, (SELECT unnest([0, 1]) AS o) WHERE y < 8 AND x - x % 4 - 4 * o >= 0)"""
+
+
+def _patches(spark, d) -> DataFrame:
+    both = pixels(spark, d).where("y < 8").withColumn("o", F.explode(F.array(F.lit(0), F.lit(1))))
+    x0 = F.col("x") - F.col("x") % 4 - 4 * F.col("o")
+    return both.where(x0 >= 0).select("image", x0.alias("x0"), F.lit(0).alias("y0"), (F.col("x") % 4 + 4 * F.col("o")).alias("px"), F.col("y").alias("py"), ((F.col("r") + F.col("o") * 50) % 256).alias("v"))
+
+
+@query(f"""WITH {_PATCH}, w AS (SELECT image, y0 + py AS y, x0 + px AS x, greatest(exp(-0.5 * pow((px - 3.5) / 2.0, 2)) * exp(-0.5 * pow((py - 3.5) / 2.0, 2)), 1e-6) AS w, v FROM patch) SELECT image, y, x, floor(sum(v * w) / greatest(sum(w), 1e-6) + 1e-9)::INT AS v FROM w GROUP BY image, y, x""")
+def feather_blend(spark, d):
+    return raster.feather_blend(_patches(spark, d), 8, 4)
+
+
+@query(f"WITH {_PATCH} SELECT image, y0 + py AS y, x0 + px AS x, round(avg(v), 6) AS v FROM patch GROUP BY 1, 2, 3")
+def overlap_average(spark, d):
+    return _r(raster.overlap_average(_patches(spark, d)), "v")
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, y, x, CASE WHEN b > 127 THEN r ELSE g END AS v FROM pix")
+def red_composite(spark, d):
+    p = pixels(spark, d)
+    pick = lambda c, n: p.select("image", "y", "x", F.col(c).alias(n))
+    return raster.composite(pick("g", "v"), pick("r", "v"), pick("b", "m"))
+
+
+@query(f"""WITH {BOX}, {PIX}, e AS (SELECT image, sum(power(r - g, 2) * b) / sum(b)::DOUBLE AS mse FROM pix GROUP BY image) SELECT image, round(mse, 5) AS mse, round(CASE WHEN mse = 0 THEN 'inf'::DOUBLE ELSE 10 * log10(65025 / mse) END, 5) AS psnr FROM e""")
+def psnr_masked(spark, d):
+    p = pixels(spark, d)
+    out = image_quality.psnr(p.select("image", "y", "x", F.col("r").alias("v"), F.col("b").alias("m")), p.select("image", "y", "x", F.col("g").alias("v")), mask=True)
+    return _r(out, "mse", "psnr", digits=5)
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, round(avg(abs(r - g)), 5) AS l1, round(avg(power(r - g, 2)), 5) AS mse, round(avg(sqrt(power(r - g, 2) + 1e-6)), 5) AS charbonnier FROM pix GROUP BY image")
+def pixel_losses(spark, d):
+    p = pixels(spark, d)
+    return _r(image_quality.pixel_losses(p.select("image", "y", "x", F.col("r").alias("v")), p.select("image", "y", "x", F.col("g").alias("v"))), "l1", "mse", "charbonnier", digits=5)
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, y, x, round((65.481 * r + 128.553 * g + 24.966 * b) / 255.0 + 16, 5)::DOUBLE AS yy, round((-37.797 * r - 74.203 * g + 112.0 * b) / 255.0 + 128, 5)::DOUBLE AS cb, round((112.0 * r - 93.786 * g - 18.214 * b) / 255.0 + 128, 5)::DOUBLE AS cr FROM (SELECT image, y, x, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM pix)")
+def ycbcr(spark, d):
+    yy, cb, cr = numbers.ycbcr(F.col("r"), F.col("g"), F.col("b"))
+    return _r(pixels(spark, d).select("image", "y", "x", yy.alias("yy"), cb.alias("cb"), cr.alias("cr")), "yy", "cb", "cr", digits=5)
+
+
+@query("WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, least(floor(16 * (least(greatest(l_quantity, 5), 45) - 5) / 40), 15)::INT AS q FROM lineitem) SELECT *, round((q + 0.5) * 40 / 16 + 5, 6)::DOUBLE AS back FROM q")
+def quantise(spark, d):
+    q = numbers.quantise(F.col("l_quantity"), 5.0, 45.0, 16)
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", q.alias("q")).withColumn("back", F.round(numbers.dequantise(F.col("q"), 5.0, 45.0, 16), 6))
+
+
+@query("SELECT i::INT AS step, round(CASE WHEN i <= 100 THEN 1e-4 + 1.0 * 0.5 * (0.01 - 1e-4) * (1 + cos(pi() * i / 100)) WHEN i <= 300 THEN 1e-4 + 0.5 * 0.5 * (0.01 - 1e-4) * (1 + cos(pi() * (i - 100) / 200)) ELSE 1e-4 + 0.25 * 0.5 * (0.01 - 1e-4) * (1 + cos(pi() * (i - 300) / 300)) END, 9) AS lr FROM (SELECT unnest(range(600)) AS i)")
+def lr_cosine_restart(spark, d):
+    lr = numbers.cosine_restart_rate(F.col("id"), 0.01, [100, 200, 300], [1.0, 0.5, 0.25], 1e-4)
+    return spark.range(600).select(F.col("id").cast("int").alias("step"), F.round(lr, 9).alias("lr"))
+
+
+@query("WITH RECURSIVE b AS (SELECT 0 AS t, 1 - 0.0001::DOUBLE AS a UNION ALL SELECT t + 1, a * (1 - (0.0001 + 0.0199 * (t + 1) / 99)) FROM b WHERE t < 99) SELECT t::INT AS t, round(a, 9) AS alpha FROM b")
+def alpha_schedule(spark, d):
+    alphas = numbers.cumulative_alphas(numbers.linear_betas(0.0001, 0.02, 100))
+    return spark.range(1).select(F.posexplode(alphas).alias("t", "alpha")).select("t", F.round("alpha", 9).alias("alpha"))
+
+
+@query(f"WITH {BOX}, {PIX}, c AS (SELECT image, r % 16 AS v, count(*) AS n FROM pix GROUP BY 1, 2) SELECT image, v AS mode FROM c QUALIFY row_number() OVER (PARTITION BY image ORDER BY n DESC, v) = 1")
+def channel_mode(spark, d):
+    return raster.channel_mode(pixels(spark, d).select("image", (F.col("r") % 16).alias("v")), ["image"])
+
+
+@query(f"WITH {BOX}, {PIX}, {_OTSU} SELECT image, coalesce(floor(median(r) FILTER (WHERE r > threshold))::INT, 255) AS r, coalesce(floor(median(g) FILTER (WHERE r > threshold))::INT, 255) AS g, coalesce(floor(median(b) FILTER (WHERE r > threshold))::INT, 255) AS b FROM pix JOIN otsu USING (image) GROUP BY image")
+def background_median(spark, d):
+    p = pixels(spark, d).withColumn("v", F.col("r"))
+    return raster.background_median(p, raster.otsu(p))
+
+
+@query(f"WITH {BOX}, {PIX}, n AS (SELECT image, abs(lead(r) OVER (PARTITION BY image, y ORDER BY x) - r) AS h, abs(lead(r) OVER (PARTITION BY image, x ORDER BY y) - r) AS v FROM pix) SELECT image, coalesce(sum(h), 0)::BIGINT AS horizontal, coalesce(sum(v), 0)::BIGINT AS vertical FROM n GROUP BY image")
+def total_variation(spark, d):
+    return raster.total_variation(pixels(spark, d).select("image", "y", "x", F.col("r").alias("v")))
+
+
+@query()
+def ssim(spark, d):
+    p = pixels(spark, d).where("image % 4 = 0 OR image >= 0").select((F.col("image") % 4).alias("image"), (F.floor(F.col("image") / 4) * 16 + F.col("y")).cast("int").alias("y"), "x", "r", "g")
+    return _r(image_quality.ssim(p.select("image", "y", "x", F.col("r").alias("v")), p.select("image", "y", "x", F.col("g").alias("v"))), "ssim")
+
+
+@query()
+def frechet_distance(spark, d):
+    e = _table(spark, d, "embeddings").withColumn("features", F.col("embedding").cast("array<double>"))
+    a, b = image_quality.moments(e.where("label % 2 = 0")), image_quality.moments(e.where("label % 2 = 1"))
+    return spark.createDataFrame([(round(image_quality.frechet(*a, *b), 6),)], "distance double")
