@@ -11,14 +11,14 @@ from .common import held_out
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """text, y (0 or 1) and weight (how many rows of its class a row stands for) of at most about ``most`` labelled training documents of each class, picked by a hash of their
-    ids. Labels that are null or given twice for a document with different values are left out."""
+    ids; so bounded, the picked ids are broadcast and no text is moved. Labels that are null or given twice for a document with different values are left out."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y").drop("_y")
     marks = marks.where(~held_out())
     counts = {r[0]: r[1] for r in marks.groupBy("y").count().collect()}  # two rows
     rate = F.when(F.col("y") == 1, F.lit(most / max(counts.get(1, 0), 1))).otherwise(F.lit(most / max(counts.get(0, 0), 1)))
     picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(picked, "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"), F.greatest(F.lit(1.0), 1 / rate).alias("weight"))
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"), F.greatest(F.lit(1.0), 1 / rate).alias("weight"))
 
 
 def fit_logistic(start: np.ndarray, index: np.ndarray, value: np.ndarray, n_features: int, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:
