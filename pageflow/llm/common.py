@@ -18,6 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts are long.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -25,6 +35,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written once in the shared folder: its lineage ends here, and a lost executor costs nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    small_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,10 +51,11 @@ def drop_written(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

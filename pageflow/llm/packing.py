@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import encoded
+from .tokens import encoded, release
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -133,6 +133,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def assign(batches):
         import pyarrow as pa
 
+        release()
         plan_ = sent.value
         first = np.searchsorted(plan_[:, 0], np.arange(capacity + 2)) if len(plan_) else np.zeros(capacity + 2, np.int64)
         top = int(plan_[:, 1].max()) + 1 if len(plan_) else 1

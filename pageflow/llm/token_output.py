@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_written, new_path, written
-from .tokens import encoded, encoder
+from .tokens import encoded, encoder, release
 
 END_ID = 2
 BLOCK_TOKENS, MAX_LANES, CHECKPOINT_STEPS = 1 << 18, 1024, 128
@@ -64,10 +64,11 @@ def token_counts(rows: DataFrame, vocabulary: int) -> np.ndarray:
     def count(batches):
         import pyarrow as pa
 
+        from .textvec import buffers
+
+        release()
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            from .textvec import buffers
-
             data, _ = buffers(b.column("ids"))
             total += np.bincount(data.view(f"<u{width}"), minlength=vocabulary)
         at = np.flatnonzero(total)
@@ -218,6 +219,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
 
         from .textvec import buffers
 
+        release()
         own = Table(*sent.value)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
@@ -270,6 +272,7 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     def decode(batches):
         import pyarrow as pa
 
+        release()
         table = Table(*sent.value)
         for b in batches:
             for first, payload in zip((b.column("before").to_numpy() + b.column("part_start").to_numpy()).tolist(), b.column("payload"), strict=True):

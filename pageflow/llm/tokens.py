@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Units a worker remembers; beyond them it starts anew.
-MAX_UNITS = 500_000
+MAX_UNITS = 400_000
 #: Fixed value: the pre-tokenizer pattern for which units are independent of one another.
 UNITWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that lower-casing and composing leave single letters (Latin, without the dotted capital I).
@@ -43,7 +43,7 @@ class _Numbers(dict):
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -52,8 +52,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unitwise = self._is_unitwise(json.loads(self.tokenizer.to_str()))
         if self.unitwise:
-            self.plain = Tokenizer.from_str(self.tokenizer.to_str())
-            self.plain.normalizer = normalizers.Sequence([])
+            self.plain = Tokenizer(self.tokenizer.model)  # shares the vocabulary; no normaliser
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(self.vocabulary, bool)
             self.ends[[i for s, i in self.tokenizer.get_vocab().items() if s.endswith("</w>")]] = True
@@ -135,6 +134,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Forgets this worker's encoders; later stages that run in it have the memory for themselves."""
+    if _ENCODERS:
+        import ctypes
+        import gc
+
+        _ENCODERS.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def encoded(batch, path: str, end_id: int, limit: int = 1_000_000):
     """(first row, row after the last, ids, counts) for runs of the batch's texts; null counts as empty."""
     from .textvec import buffers, slices
