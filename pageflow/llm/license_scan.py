@@ -63,11 +63,11 @@ class Index:
         self.fingerprint = np.array([r[0] for r in rows], np.uint64)
         self.place = np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.fingerprint >> np.uint64(48)).astype(np.int64)] = True
+        self.maybe[(self.fingerprint & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``grams`` and rows of the index that meet."""
-        at = np.flatnonzero(self.maybe[(grams >> np.uint64(48)).astype(np.int64)])
+        at = np.flatnonzero(self.maybe[(grams & np.uint64(0xFFFF)).astype(np.int64)])
         low = np.searchsorted(self.fingerprint, grams[at])
         n = np.searchsorted(self.fingerprint, grams[at], side="right") - low
         row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))

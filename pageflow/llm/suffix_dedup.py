@@ -105,14 +105,15 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
 
 
 def _bit_map(fps: DataFrame) -> np.ndarray:
-    """Bit map of the fingerprints' leading bits; the driver holds it and one task's places at a time."""
+    """Bit map of the fingerprints, mixed anew (anchors are smallest hashes, so their leading bits are alike); the driver
+    holds it and one task's places at a time."""
     bits = min(MAX_BITS, max(16, (fps.count() * BITS_EACH).bit_length()))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            at = np.unique(b.column("fp").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint32)
+            at = np.unique(mix(b.column("fp").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32)
             yield pa.RecordBatch.from_pydict({"at": pa.array([at.tobytes()], pa.binary())})
 
     out = np.zeros(1 << bits, bool)
@@ -135,7 +136,7 @@ def _stretches(docs: DataFrame, marks) -> DataFrame:
             for i, j in slices(offsets):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 first, last, fp = runs(own, at)
-                bit = (fp >> shift).astype(np.int64)
+                bit = (mix(fp) >> shift).astype(np.int64)
                 keep = (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
                 first, last, fp = first[keep], last[keep], fp[keep]
                 size = last - first + LENGTH
