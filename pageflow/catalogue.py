@@ -770,3 +770,99 @@ def frechet_distance(spark, d):
     e = _table(spark, d, "embeddings").withColumn("features", F.col("embedding").cast("array<double>"))
     a, b = image_quality.moments(e.where("label % 2 = 0")), image_quality.moments(e.where("label % 2 = 1"))
     return spark.createDataFrame([(round(image_quality.frechet(*a, *b), 6),)], "distance double")
+
+
+# --- further operators ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src3')")
+def page_selection(spark, d):
+    return datasets.selected_pages(_table(spark, d, "documents"), " src1, ,src3 ", "source").select("doc_id")
+
+
+@query("SELECT doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS has_text FROM documents d")
+def text_exists(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id")
+    have, lack = datasets.with_text(docs, _table(spark, d, "labels"), "doc_id")
+    return have.withColumn("has_text", F.lit(True)).unionByName(lack.withColumn("has_text", F.lit(False)))
+
+
+@query(f"""WITH {SIZES}, s AS (SELECT page, width, height, least(384.0::DOUBLE / width, 384.0::DOUBLE / height) AS f FROM sizes), r AS (SELECT page, greatest(1, round_even(width * f, 0)::INT) AS w, greatest(1, round_even(height * f, 0)::INT) AS h, greatest(1, floor(width * f)::INT) AS tw, greatest(1, floor(height * f)::INT) AS th FROM s)
+SELECT page, w, h, ((384 - w) // 2)::INT AS x0, ((384 - h) // 2)::INT AS y0, tw, th FROM r""")
+def letterbox_sizes(spark, d):
+    w, h, x0, y0 = geometry.letterbox(F.col("width"), F.col("height"), 384)
+    tw, th, _, _ = geometry.letterbox(F.col("width"), F.col("height"), 384, "truncate")
+    return page_sizes(spark, d).select("page", w.alias("w"), h.alias("h"), x0.alias("x0"), y0.alias("y0"), tw.alias("tw"), th.alias("th"))
+
+
+@query(f"WITH {SIZES} SELECT page, ((128 - width % 128) % 128)::INT AS right_pad, ((128 - height % 128) % 128)::INT AS bottom_pad FROM sizes")
+def pad_sizes(spark, d):
+    return page_sizes(spark, d).select("page", geometry.pad_to_multiple(F.col("width"), 128).alias("right_pad"), geometry.pad_to_multiple(F.col("height"), 128).alias("bottom_pad"))
+
+
+@query("SELECT i::INT AS step, round(0.01 * power(0.1, (i >= 100)::INT + (i >= 250)::INT), 9) AS multistep, round(0.01 * (1 - i / 600), 9) AS linear, round(CASE WHEN i < 50 THEN 0.01 * i / 50 ELSE 0.001 + 0.5 * 0.009 * (1 + cos(pi() * (i - 50) / 550)) END, 9) AS warmup FROM (SELECT unnest(range(600)) AS i)")
+def lr_schedules(spark, d):
+    i = F.col("id")
+    return _r(spark.range(600).select(i.cast("int").alias("step"), numbers.multistep_rate(i, 0.01, [100, 250]).alias("multistep"), numbers.linear_rate(i, 0.01, 600).alias("linear"), numbers.warmup_cosine_rate(i, 0.01, 50, 600, 0.001).alias("warmup")), "multistep", "linear", "warmup", digits=9)
+
+
+@query(f"WITH {BOX}, q AS (SELECT page, idx, least(floor(255 * (least(greatest((x1 - 300) / 15000.0::DOUBLE, -0.02), 0.02) + 0.02) / 0.04), 254)::INT AS q FROM box) SELECT page, idx, q, round(((q + 0.5) * 0.04 / 255 - 0.02) * 600, 6)::DOUBLE AS back FROM q")
+def flow_quantised(spark, d):
+    q = numbers.quantised_flow((F.col("x1") - 300) / 25.0, F.lit(600))
+    return boxes(spark, d).select("page", "idx", q.alias("q")).withColumn("back", F.round(numbers.dequantised_flow(F.col("q"), F.lit(600)), 6))
+
+
+@query("SELECT event_id, floor(255.0 / (1 + exp(-(value / 100 - 2))))::INT AS m FROM events")
+def soft_mask(spark, d):
+    return _table(spark, d, "events").select("event_id", numbers.soft_mask(F.col("value") / 100 - 2).alias("m"))
+
+
+@query(f"""WITH {DEC} SELECT page, pos, topk_chars[2] AS top2_char, round(0.5 / 2, 6)::DOUBLE AS top2_conf, topk_chars[5] AS top5_char, '' AS top6_char FROM dec""")
+def flattened_candidates(spark, d):
+    top = F.transform("topk_chars", lambda c, i: F.struct(c.alias("char"), (0.5 / (i + 1)).alias("prob")))
+    flat = arrays.flattened_candidates(F.col("t"), 2, 6)
+    out = decoded(spark, d).select("page", "pos", top.alias("t")).select("page", "pos", *[c.alias(n) for n, c in flat.items()])
+    return _r(out.select("page", "pos", "top2_char", "top2_conf", "top5_char", "top6_char"), "top2_conf")
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 THEN 'unexpected' ELSE 'shape' END AS status FROM part WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_size % 3 = 1)")
+def key_difference(spark, d):
+    p = _table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") % 3).alias("shape"))
+    have = p.where("key % 5 <> 0")
+    want = p.where("key % 7 <> 0").withColumn("shape", F.when(F.col("shape") == 1, 9).otherwise(F.col("shape")))
+    return datasets.key_difference(have, want, "key", "shape")
+
+
+@query("SELECT event_type AS metric, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY event_type")
+def metric_means(spark, d):
+    return _r(datasets.metric_means(_table(spark, d, "events").select(F.col("event_type").alias("metric"), "value")), "mean")
+
+
+@query("SELECT DISTINCT source AS name FROM documents UNION SELECT DISTINCT lang FROM documents")
+def union_distinct(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.select(F.col("source").alias("name")).union(docs.select("lang")).distinct()
+
+
+@query(f"WITH {BOX} SELECT page, idx, greatest(0, x1 - 40)::INT AS x1, greatest(0, y1 - 40)::INT AS y1, greatest(0, x2 - 40)::INT AS x2, greatest(0, y2 - 40)::INT AS y2 FROM box")
+def polygon_boxes(spark, d):
+    moved = {k: F.col(k) - 40 for k in ("x1", "y1", "x2", "y2")}
+    return boxes(spark, d).select("page", "idx", *[c.alias(k) for k, c in geometry.polygon_box(geometry.polygon(moved)).items()])
+
+
+@query("SELECT i::INT AS place, round(sum(w), 6) AS total FROM (SELECT unnest(range(37)) AS i, 1.0::DOUBLE AS w) GROUP BY i")
+def resize_weights(spark, d):
+    """The weights of every output place add up to one."""
+    taps = spark.createDataFrame(raster.resize_taps(100, 37), "place int, source int, w double")
+    return taps.groupBy("place").agg(F.round(F.sum("w"), 6).alias("total"))
+
+
+@query()
+def random_partners(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "lang")
+    return datasets.random_partners(docs, docs, "doc_id")
+
+
+@query()
+def blob_masks(spark, d):
+    return raster.blob_masks(pixels(spark, d), 12, 16)

@@ -129,3 +129,37 @@ def charbonnier(d: Column, eps: float = 1e-3) -> Column:
 def edge_colour(greedy_ok: Column, final_ok: Column) -> Column:
     """How an annotation is drawn: a mended, spoilt, wrong or right character."""
     return F.when(~greedy_ok & final_ok, "green").when(greedy_ok & ~final_ok, "red").when(~greedy_ok & ~final_ok, "yellow").otherwise("grey")
+
+
+def multistep_restart_rate(step: Column, base: float, milestones: list[int], factor: float, restarts: list[int], weights: list[float]) -> Column:
+    """Steps down at milestones counted from the last restart, from that restart's weight times the base."""
+    out, next_start = None, 0
+    for start, weight in reversed(list(zip([0, *restarts], [1.0, *weights], strict=True))):
+        rate = weight * multistep_rate(step - start, base, milestones, factor)
+        out = rate if out is None else F.when(step < next_start, rate).otherwise(out)
+        next_start = start
+    return out
+
+
+def vibrate_rate(step: Column, base: float, total: int) -> Column:
+    """Falls from the base to nearly nothing while it swings between two lines, 80 times in all."""
+    top = base * (1 - step * 3 / (8 * total))
+    low = top * 0.1
+    period = max(1, total // 80)
+    phase = F.pmod(step, F.lit(period)) / period
+    swing = F.abs(1 - 2 * phase)
+    return low + (top - low) * swing
+
+
+def quantised_flow(d: Column, size: Column, max_value: float = 0.02, levels: int = 255) -> Column:
+    """A flow component relative to the image's size, in levels."""
+    return quantise(d / size, -max_value, max_value, levels)
+
+
+def dequantised_flow(q: Column, size: Column, max_value: float = 0.02, levels: int = 255) -> Column:
+    return dequantise(q, -max_value, max_value, levels) * size
+
+
+def soft_mask(score: Column) -> Column:
+    """A network's output as a mask of 0 to 255, truncated."""
+    return F.floor(255.0 / (1 + F.exp(-score))).cast("int")

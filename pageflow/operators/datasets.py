@@ -111,3 +111,35 @@ def pick_by_priority(files: DataFrame, key: str, extensions: list[str], ext: str
     rank = F.array_position(F.array(*[F.lit(e) for e in extensions]), F.lower(F.col(ext)))
     best = files.withColumn("_r", rank).where("_r > 0").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_r", ext)))
     return best.where("_n = 1").drop("_r", "_n")
+
+
+def selected_pages(df: DataFrame, choice: str, page: str = "Image") -> DataFrame:
+    """Rows of the pages in a comma list; ``all`` keeps every row."""
+    if choice.strip() == "all":
+        return df
+    names = [p.strip() for p in choice.split(",") if p.strip()]
+    return df.where(F.col(page).cast("string").isin(names))
+
+
+def with_text(df: DataFrame, texts: DataFrame, page: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose page has a text, and the pages that have none."""
+    return df.join(texts.select(page).distinct(), page, "left_semi"), df.select(page).distinct().join(texts.select(page).distinct(), page, "left_anti")
+
+
+def random_partners(left: DataFrame, right: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Each row of ``left`` with some row of ``right``, decided by a hash of its key: numbers on one side, an equi-join."""
+    n = right.count()
+    numbered = dense_ids(right, [key], "_i").select("_i", *[F.col(c).alias(f"partner_{c}") for c in right.columns])
+    return left.withColumn("_i", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(n, 1)))).join(numbered, "_i").drop("_i")
+
+
+def key_difference(have: DataFrame, want: DataFrame, key: str, shape: str) -> DataFrame:
+    """key and status of entries that are missing, unexpected or of another shape."""
+    h, w = have.select(key, F.col(shape).alias("_h")), want.select(key, F.col(shape).alias("_w"))
+    both = h.join(w, key, "full_outer")
+    status = F.when(F.col("_h").isNull(), "missing").when(F.col("_w").isNull(), "unexpected").when(F.col("_h") != F.col("_w"), "shape")
+    return both.select(key, status.alias("status")).where("status IS NOT NULL")
+
+
+def metric_means(rows: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
+    return rows.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -85,3 +85,88 @@ def total_variation(pixels: DataFrame, key: str = "image") -> DataFrame:
 
 def binarise(v: Column, threshold: int = 125) -> Column:
     return F.when(v > threshold, 255).otherwise(0)
+
+
+def resize_taps(size: int, out: int, antialias: bool = True) -> list[tuple[int, int, float]]:
+    """(output place, input place, weight) of a bicubic resize along one axis; edges mirror. As many taps as the output
+    has places times the kernel's width."""
+    import math
+
+    def cubic(x: float) -> float:
+        d = abs(x)
+        return 1.5 * d**3 - 2.5 * d**2 + 1 if d <= 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d <= 2 else 0.0
+
+    scale = out / size
+    shrink = min(scale, 1.0) if antialias else 1.0
+    width = 4 / shrink
+    taps: dict[tuple[int, int], float] = {}
+    for i in range(out):
+        centre = (i + 1) / scale + 0.5 * (1 - 1 / scale)
+        left = math.floor(centre - width / 2)
+        raw = [(j, shrink * cubic(shrink * (centre - j))) for j in range(left, left + math.ceil(width) + 2)]
+        total = sum(w for _, w in raw)
+        for j, w in raw:
+            if w:
+                k = (j - 1) % (2 * size)
+                k = k if k < size else 2 * size - 1 - k
+                taps[i, k] = taps.get((i, k), 0.0) + w / total
+    return [(i, k, w) for (i, k), w in sorted(taps.items())]
+
+
+def resize(pixels: DataFrame, height: int, width: int, out_height: int, out_width: int) -> DataFrame:
+    """Bicubic resize of images of one size, one axis after the other; weights are small broadcast tables and sums are
+    combined before they move."""
+    spark = pixels.sparkSession
+
+    def along(df: DataFrame, axis: str, size: int, out: int) -> DataFrame:
+        taps = spark.createDataFrame(resize_taps(size, out), f"_o int, {axis} int, _w double")
+        keys = ["image", *({"y", "x"} - {axis})]
+        return df.join(F.broadcast(taps), axis).groupBy(*keys, F.col("_o").alias("_a")).agg(F.sum(F.col("v") * F.col("_w")).alias("v")).withColumnRenamed("_a", axis)
+
+    return along(along(pixels.select("image", "y", "x", F.col("v").cast("double").alias("v")), "y", height, out_height), "x", width, out_width).select("image", "y", "x", "v")
+
+
+def letterboxed(pixels: DataFrame, height: int, width: int, target: int, fill: float = 255.0) -> DataFrame:
+    """Images of one size scaled into a square and centred on a plain ground."""
+    scale = min(target / width, target / height)
+    w, h = max(1, round(width * scale)), max(1, round(height * scale))
+    left, top = (target - w) // 2, (target - h) // 2
+    inner = resize(pixels, height, width, h, w).select("image", (F.col("y") + top).alias("y"), (F.col("x") + left).alias("x"), "v")
+    line = F.explode(F.sequence(F.lit(0), F.lit(target - 1)))
+    ground = pixels.select("image").distinct().withColumn("y", line).withColumn("x", line)
+    return ground.join(inner, ["image", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))
+
+
+def padded(pixels: DataFrame, colours: DataFrame, height: int, width: int, multiple: int = 128) -> DataFrame:
+    """Images (r, g, b) of one size padded at the right and bottom to a multiple with their own background colour."""
+    h, w = -(-height // multiple) * multiple, -(-width // multiple) * multiple
+    places = colours.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+    own = pixels.select("image", "y", "x", *[F.col(c).alias(f"_{c}") for c in "rgb"])
+    return places.join(own, ["image", "y", "x"], "left").select("image", "y", "x", *[F.coalesce(f"_{c}", c).alias(c) for c in "rgb"])
+
+
+def ghost(pixels: DataFrame, shift: int = 5, strength: float = 0.3, above: int = 128) -> DataFrame:
+    """A faint copy of dark pixels, moved to the right: what shows through from the other side of a page."""
+    dark = pixels.where(F.col("v") <= above).select("image", "y", (F.col("x") + shift).alias("x"), F.col("v").alias("_g"))
+    return pixels.join(dark, ["image", "y", "x"], "left").withColumn("v", F.floor(F.coalesce((1 - strength) * F.col("v") + strength * F.col("_g"), F.col("v"))).cast("int")).drop("_g")
+
+
+def blend(pixels: DataFrame, mask: DataFrame, colour: int, opacity: float) -> DataFrame:
+    """A stain of one colour under a mask of 0 to 255, as opaque as asked for."""
+    a = F.coalesce(F.col("m"), F.lit(0)) / 255.0 * opacity
+    return pixels.join(mask.select("image", "y", "x", "m"), ["image", "y", "x"], "left").withColumn("v", F.floor((1 - a) * F.col("v") + a * colour + 1e-9).cast("int")).drop("m")
+
+
+def blob_masks(images: DataFrame, height: int, width: int, blobs: int = 3, seed: int = 0) -> DataFrame:
+    """image, y, x, m: discs at places that a hash of the image's key decides, so that a rerun gives the same."""
+    draw = lambda k, c: F.pmod(F.xxhash64("image", F.lit(seed), F.col("k"), F.lit(c)), F.lit(1_000_003)) / 1_000_003.0
+    discs = images.select("image").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(blobs)))).select("image", (draw("k", 1) * height).alias("cy"), (draw("k", 2) * width).alias("cx"), (1 + draw("k", 3) * min(height, width) / 4).alias("r"))
+    span = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) - F.col("r")).cast("int")), F.least(F.lit(n - 1), F.ceil(F.col(c) + F.col("r")).cast("int"))))
+    near = discs.withColumn("y", span("cy", height)).withColumn("x", span("cx", width))
+    inside = F.pow(F.col("y") - F.col("cy"), F.lit(2.0)) + F.pow(F.col("x") - F.col("cx"), F.lit(2.0)) <= F.pow("r", F.lit(2.0))
+    return near.where(inside).select("image", "y", "x", F.lit(255).alias("m")).distinct()
+
+
+def inpainted(pixels: DataFrame, restored: DataFrame, mask: DataFrame) -> DataFrame:
+    """The inpainting operator: known pixels stay, those under the mask come from the restoration."""
+    return composite(pixels, restored, mask, above=0)
