@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Units a worker remembers; beyond them it starts anew.
-MAX_UNITS = 400_000
+MAX_UNITS = 1_000_000
 #: Fixed value: the pre-tokenizer pattern for which units are independent of one another.
 UNITWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that lower-casing and composing leave single letters (Latin, without the dotted capital I).
@@ -25,6 +25,8 @@ _SIGN = r"!-/:-@\[-`{-~"
 _UNIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[{_SIGN}]+")
 _OTHER = re.compile(rf"[^{_LETTER}0-9{_SIGN} \t\n\r\f\v]")
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
+#: Stands before what goes to the tokenizer as it is; no unit holds it.
+_ODD = "\0"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -75,18 +77,23 @@ class Encoder:
         new, self.known.new = self.known.new, []
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
-            odd = [_OTHER.search(u) is not None or any(s in u for s in self.special) or _UNIT.fullmatch(u) is None for u in part]
-            plain = self.plain.encode_batch_fast([" ".join(u for u, o in zip(part, odd, strict=True) if not o)], add_special_tokens=False)[0].ids
+            text = " ".join(part)
+            if _ODD in text:
+                odd = [u[0] == _ODD for u in part]
+                text = " ".join(u for u, o in zip(part, odd, strict=True) if not o)
+            else:
+                odd = []
+            plain = self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
             plain = np.array(plain, np.uint32)
             cuts = np.concatenate(([0], np.flatnonzero(self.ends[plain]) + 1))
             if len(cuts) - 1 != len(part) - sum(odd) or cuts[-1] != len(plain):
                 raise ValueError("the tokenizer doesn't keep units apart")
-            if not any(odd):
+            if not odd:
                 self._store(plain, np.diff(cuts))
                 continue
             k = 0
             for u, o in zip(part, odd, strict=True):
-                own = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.uint32) if o else plain[cuts[k] : cuts[k + 1]]
+                own = np.array(self.tokenizer.encode(u[1:], add_special_tokens=False).ids, np.uint32) if o else plain[cuts[k] : cuts[k + 1]]
                 k += not o
                 self._store(own, np.array([len(own)]))
 
@@ -103,10 +110,10 @@ class Encoder:
 
     def _units(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
-            return [text]
+            return [_ODD + text]
         if _OTHER.search(text) is None:
             return _UNIT.findall(text.lower())
-        return list(chain.from_iterable([w] if _OTHER.search(w) else _UNIT.findall(w.lower()) for w in _WORD.findall(text)))
+        return list(chain.from_iterable([_ODD + w] if _OTHER.search(w) else _UNIT.findall(w.lower()) for w in _WORD.findall(text)))
 
     def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of each text's ids with it."""
