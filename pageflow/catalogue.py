@@ -195,19 +195,24 @@ def reading_order(spark, d):
 
 
 def _islands_sql(a: str, b: str) -> str:
-    return f"""WITH {BOX}, m AS (SELECT page, {a} AS s, {b} AS e, CASE WHEN {a} > max({b}) OVER (PARTITION BY page ORDER BY {a}, {b} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM box WHERE part % 29 = 0 AND {b} > {a}),
+    return f"""WITH {BOX}, t AS (SELECT page, {a} * 16 AS s, {a} * 16 + {b} - {a} AS e FROM box), m AS (SELECT page, s, e, CASE WHEN s > max(e) OVER (PARTITION BY page ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM t WHERE e > s),
 i AS (SELECT *, sum(nw) OVER (PARTITION BY page ORDER BY s, e ROWS UNBOUNDED PRECEDING)::INT AS island FROM m)
 SELECT page, island, min(s) AS start, max(e) AS "end", count(*) AS members FROM i GROUP BY page, island"""
 
 
+def _spread(spark, d, a: str, b: str) -> DataFrame:
+    """Boxes of their own size on a page sixteen times as long, so that there are gaps."""
+    return boxes(spark, d).select("page", (F.col(a) * 16).alias("s"), (F.col(a) * 16 + F.col(b) - F.col(a)).alias("e"))
+
+
 @query(_islands_sql("y1", "y2"))
 def projection_islands_y(spark, d):
-    return layout.islands(boxes(spark, d).where("part % 29 = 0"), ["page"], "y1", "y2")
+    return layout.islands(_spread(spark, d, "y1", "y2"), ["page"], "s", "e")
 
 
 @query(_islands_sql("x1", "x2"))
 def projection_islands_x(spark, d):
-    return layout.islands(boxes(spark, d).where("part % 29 = 0"), ["page"], "x1", "x2")
+    return layout.islands(_spread(spark, d, "x1", "x2"), ["page"], "s", "e")
 
 
 @query()
@@ -519,11 +524,11 @@ def _decode_items(spark, d) -> DataFrame:
     ch = lambda n: text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + n)))
     p = F.col("part")
     top = F.array(*[F.struct(ch((p + j) % 20).alias("char"), (-((p * (j + 2)) % 13) / 4.0).alias("logp")) for j in range(3)])
-    return boxes(spark, d).where("idx < 24").select("page", F.col("idx").alias("pos"), "part", top.alias("candidates"))
+    return boxes(spark, d).select("page", F.col("idx").alias("pos"), "part", top.alias("candidates"))
 
 
 def _decode_bigrams(spark, d) -> DataFrame:
-    chars = boxes(spark, d).where("idx < 24").groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", (F.col("part") % 20).alias("p")))), lambda s: text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + s["p"])))), "").alias("text"))
+    chars = boxes(spark, d).groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", (F.col("part") % 20).alias("p")))), lambda s: text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + s["p"])))), "").alias("text"))
     return lm.bigram_logprob(chars)
 
 
@@ -680,13 +685,13 @@ def gamma_lut(spark, d):
     return spark.range(256).select(F.col("id").cast("int").alias("v"), numbers.gamma(F.col("id")).alias("out"))
 
 
-_PATCH = f"""{BOX}, {PIX}, patch AS (SELECT image, x - x % 4 - 4 * o AS x0, 0 AS y0, x % 4 + 4 * o AS px, y AS py, ((r + o * 50) % 256) AS v FROM pix, (SELECT unnest([0, 1]) AS o) WHERE y < 8 AND x - x % 4 - 4 * o >= 0)"""
+_PATCH = f"""{BOX}, {PIX}, patch AS (SELECT image, x - x % 4 - 4 * o AS x0, y - y % 8 AS y0, x % 4 + 4 * o AS px, y % 8 AS py, ((r + o * 50) % 256) AS v FROM pix, (SELECT unnest([0, 1]) AS o) WHERE x - x % 4 - 4 * o >= 0)"""
 
 
 def _patches(spark, d) -> DataFrame:
-    both = pixels(spark, d).where("y < 8").withColumn("o", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = pixels(spark, d).withColumn("o", F.explode(F.array(F.lit(0), F.lit(1))))
     x0 = F.col("x") - F.col("x") % 4 - 4 * F.col("o")
-    return both.where(x0 >= 0).select("image", x0.alias("x0"), F.lit(0).alias("y0"), (F.col("x") % 4 + 4 * F.col("o")).alias("px"), F.col("y").alias("py"), ((F.col("r") + F.col("o") * 50) % 256).alias("v"))
+    return both.where(x0 >= 0).select("image", x0.alias("x0"), (F.col("y") - F.col("y") % 8).alias("y0"), (F.col("x") % 4 + 4 * F.col("o")).alias("px"), (F.col("y") % 8).alias("py"), ((F.col("r") + F.col("o") * 50) % 256).alias("v"))
 
 
 @query(f"""WITH {_PATCH}, w AS (SELECT image, y0 + py AS y, x0 + px AS x, greatest(exp(-0.5 * pow((px - 3.5) / 2.0, 2)) * exp(-0.5 * pow((py - 3.5) / 2.0, 2)), 1e-6) AS w, v FROM patch) SELECT image, y, x, floor(sum(v * w) / greatest(sum(w), 1e-6) + 1e-9)::INT AS v FROM w GROUP BY image, y, x""")
@@ -761,7 +766,7 @@ def total_variation(spark, d):
 
 @query()
 def ssim(spark, d):
-    p = pixels(spark, d).where("image % 4 = 0 OR image >= 0").select((F.col("image") % 4).alias("image"), (F.floor(F.col("image") / 4) * 16 + F.col("y")).cast("int").alias("y"), "x", "r", "g")
+    p = pixels(spark, d).select((F.col("image") % 4).alias("image"), (F.floor(F.col("image") / 4) * 16 + F.col("y")).cast("int").alias("y"), "x", "r", "g")
     return _r(image_quality.ssim(p.select("image", "y", "x", F.col("r").alias("v")), p.select("image", "y", "x", F.col("g").alias("v"))), "ssim")
 
 

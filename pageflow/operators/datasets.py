@@ -129,8 +129,8 @@ def with_text(df: DataFrame, texts: DataFrame, page: str) -> tuple[DataFrame, Da
 def random_partners(left: DataFrame, right: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Each row of ``left`` with some row of ``right``, decided by a hash of its key: numbers on one side, an equi-join."""
     n = right.count()
-    numbered = dense_ids(right, [key], "_i").select("_i", *[F.col(c).alias(f"partner_{c}") for c in right.columns])
-    return left.withColumn("_i", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(n, 1)))).join(numbered, "_i").drop("_i")
+    numbered = dense_ids(right, [key], "_number").select("_number", *[F.col(c).alias(f"partner_{c}") for c in right.columns])
+    return left.withColumn("_number", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(n, 1)))).join(numbered, "_number").drop("_number")
 
 
 def key_difference(have: DataFrame, want: DataFrame, key: str, shape: str) -> DataFrame:
