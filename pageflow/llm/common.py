@@ -71,3 +71,15 @@ MAX_BROADCAST_ROWS = 500_000
 def sized(side: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint if it was counted to have at most ``most`` rows; else it is joined by a shuffle."""
     return F.broadcast(side) if side.count() <= most else side
+
+
+#: Shares into which the rows of one key are dealt where a third of all rows may have it.
+SALTS = 16
+
+
+def spread_left_join(rows: DataFrame, groups: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join of ``rows`` with ``groups`` (one row for each key, and only keys of several rows): a key's rows are dealt
+    over ``SALTS`` partitions, and its group's row is repeated for them."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    every = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(every, [key, "_salt"], "left").drop("_salt")

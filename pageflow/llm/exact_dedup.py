@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import sized, spread_left_join, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: Where a chunk may end: a space after one of these letter pairs.
@@ -53,7 +53,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     made = written(recipes(docs) if verified else recipes(docs, lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     groups = made.groupBy("recipe").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1")
-    joined = made.join(groups, "recipe", "left")
+    joined = spread_left_join(made, groups, "recipe", "row")
     return joined.select(
         "row",
         "doc_id",

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, sized, written
+from .common import drop_written, sized, spread_left_join, written
 from .components import connected
 from .textvec import WORD_SPACE, buffers, mix, shingles, slices, word_hashes
 
@@ -269,7 +269,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     placed = written(made.drop("bands").join(rooted, ["h1", "h2", "n"], "left").select("row", "doc_id", "n", F.coalesce("component", "row").alias("component")), "placed")
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     drop_written(made)
-    return placed.join(first, "component", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"))
+    return spread_left_join(placed, first, "component", "row").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
