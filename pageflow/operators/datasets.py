@@ -143,3 +143,12 @@ def key_difference(have: DataFrame, want: DataFrame, key: str, shape: str) -> Da
 
 def metric_means(rows: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
     return rows.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def prepare_inference(masks: DataFrame, pages: DataFrame, done: DataFrame, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """Mask files (name, path) paired with page images (stem, path) by the mask's name without its suffix, but for pages
+    that are done; and the masks whose page image is missing."""
+    keyed = masks.where(F.col("name").endswith(suffix)).select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("page"), F.col("path").alias("mask_path"))
+    images = pages.select(F.col("stem").alias("page"), F.col("path").alias("image_path"))
+    ready = keyed.join(images, "page").join(done.select("page").distinct(), "page", "left_anti")
+    return ready, keyed.join(images, "page", "left_anti")

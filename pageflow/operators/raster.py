@@ -170,3 +170,19 @@ def blob_masks(images: DataFrame, height: int, width: int, blobs: int = 3, seed:
 def inpainted(pixels: DataFrame, restored: DataFrame, mask: DataFrame) -> DataFrame:
     """The inpainting operator: known pixels stay, those under the mask come from the restoration."""
     return composite(pixels, restored, mask, above=0)
+
+
+def packed_images(pixels: DataFrame, key: str = "image") -> DataFrame:
+    """key, height, width and data (rows of blue, green, red bytes, clipped to 0..255): one group in Python for each image."""
+
+    def run(k, pdf):
+        import numpy as np
+        import pandas as pd
+
+        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+        out = np.zeros((h, w, 3), np.uint8)
+        for c, name in enumerate("bgr"):
+            out[pdf["y"].to_numpy(), pdf["x"].to_numpy(), c] = np.clip(pdf[name].to_numpy(), 0, 255)
+        return pd.DataFrame({key: [k[0]], "height": [h], "width": [w], "data": [out.tobytes()]})
+
+    return pixels.select(key, "y", "x", "r", "g", "b").groupBy(key).applyInPandas(run, f"{key} {dict(pixels.dtypes)[key]}, height int, width int, data binary")

@@ -85,3 +85,15 @@ def markdown_report(summary: DataFrame, bins: DataFrame, folders: DataFrame, top
     for k, p in enumerate(parts[1:], 1):
         out = out.crossJoin(F.broadcast(p.withColumnRenamed("a", f"a{k}")))  # one row each
     _one_text(out.select(F.array_join(F.concat(*[f"a{k}" for k in range(len(parts))]), "\n").alias("value")), path, mode)
+
+
+def coco_document(images: DataFrame, annotations: DataFrame, path: str, categories: list[tuple[int, str]] = [(1, "char")], mode: str = "errorifexists") -> None:
+    """One COCO file of bounded size; larger sets go to JSON lines, one folder for each relation."""
+    if images.count() > MAX_REPORT_ROWS or annotations.count() > 10 * MAX_REPORT_ROWS:
+        json_lines(images, f"{path}/images", mode)
+        json_lines(annotations, f"{path}/annotations", mode)
+        return
+    listed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in df.columns if c != "id"]))).alias(name))
+    cats = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in categories]).alias("categories")
+    both = listed(images, "images").crossJoin(listed(annotations, "annotations"))  # one row each
+    _one_text(both.select(F.to_json(F.struct(cats, "images", "annotations")).alias("value")), path, mode)

@@ -330,3 +330,16 @@ def test_selection_and_partners(spark):
     have, lack = datasets.with_text(df, df.limit(0).unionByName(spark.createDataFrame([("b",)], "Image string")), "Image")
     assert rows(have, "Image") == [("b",)] and rows(lack, "Image") == [("a",), ("c",)]
     assert datasets.random_partners(df, df, "Image").count() == 3
+
+
+def test_inference_folders(spark):
+    masks = spark.createDataFrame([("p1_mask.png", "/m/p1"), ("p2_mask.png", "/m/p2"), ("p3_mask.png", "/m/p3"), ("x.png", "/m/x")], "name string, path string")
+    pages = spark.createDataFrame([("p1", "/i/p1"), ("p2", "/i/p2")], "stem string, path string")
+    ready, missing = datasets.prepare_inference(masks, pages, spark.createDataFrame([("p2",)], "page string"), "_mask.png")
+    assert rows(ready, "page", "image_path") == [("p1", "/i/p1")] and rows(missing, "page") == [("p3",)]
+
+
+def test_pixels_to_images(spark):
+    rgb = pix(spark, [[1, 2], [3, 300]]).select("image", "y", "x", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(9).alias("b"))
+    got = raster.packed_images(rgb).first()
+    assert (got["height"], got["width"]) == (2, 2) and bytes(got["data"]) == bytes([9, 0, 1, 9, 0, 2, 9, 0, 3, 9, 0, 255])

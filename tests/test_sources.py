@@ -142,3 +142,11 @@ def test_resume_reads_new_files_once(spark, tmp_path):
 def test_summary_of_files_equals_rows(spark, tmp_path):
     recognition_files(tmp_path)
     assert confidence.summary(readers.recognitions(spark, str(tmp_path))).first()["total"] == 2
+
+
+def test_coco_document(spark, tmp_path):
+    images = spark.createDataFrame([(1, "b.jpg"), (0, "a.jpg")], "id int, file_name string")
+    notes = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0, 4.0])], "id int, image_id int, bbox array<double>")
+    sinks.coco_document(images, notes, str(tmp_path / "coco"))
+    doc = json.loads(read(tmp_path / "coco"))
+    assert [i["file_name"] for i in doc["images"]] == ["a.jpg", "b.jpg"] and doc["categories"] == [{"id": 1, "name": "char"}] and doc["annotations"][0]["image_id"] == 1
