@@ -254,11 +254,18 @@ def _hot_repeats(distinct: DataFrame) -> DataFrame:
     more = each.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1")
     singles = each.join(more, ["w1", "w2"], "left_semi").select("fp", "x", "o")
 
-    def pack(os: list) -> bytes:
-        return b"".join(int(o).to_bytes(4, "little") * 2 for o in os)
+    def pack(batches):
+        import pyarrow as pa
 
-    packed = F.udf(pack, "binary")  # at most LENGTH windows a stretch
-    return singles.groupBy("fp", "x").agg(F.collect_list("o").alias("os")).select("fp", "x", packed("os").alias("pairs"))
+        for b in batches:
+            os = b.column("os")
+            pairs = np.repeat(os.flatten().to_numpy().astype("<i4"), 2)
+            ends = np.concatenate(([0], np.cumsum(os.value_lengths().to_numpy()))).astype(np.int64) * 8
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(os), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])
+            yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "x": b.column("x"), "pairs": packed.cast(pa.binary())})
+
+    grouped = singles.groupBy("fp", "x").agg(F.collect_list("o").alias("os"))  # at most LENGTH windows a stretch
+    return grouped.mapInArrow(pack, "fp long, x long, pairs binary")
 
 
 def removals(docs: DataFrame) -> DataFrame:
