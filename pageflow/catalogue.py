@@ -156,7 +156,7 @@ def doc_chars(spark, d) -> DataFrame:
 t AS (SELECT char, count(*) AS n, min(doc_id * 100000000 + pos) AS seen FROM chars GROUP BY char)
 SELECT char, n, round(100.0 * n / (SELECT sum(n) FROM t), 6)::DOUBLE AS percent, (row_number() OVER (ORDER BY n DESC, seen))::INT AS rank FROM t ORDER BY n DESC, seen LIMIT 30""")
 def char_freq_top30(spark, d):
-    return _r(confidence.most_common(doc_chars(spark, d), 30, ["doc_id", "pos"]), "percent")
+    return _r(confidence.most_common(doc_chars(spark, d).select("char", (F.col("doc_id") * 100_000_000 + F.col("pos")).alias("ordinal")), 30), "percent")
 
 
 @query("SELECT count(DISTINCT c) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')")

@@ -31,11 +31,20 @@ def margin_logit(cosine: Column, margin: float = 0.3, scale: float = 16.0) -> Co
     return F.lit(scale) * F.cos(F.acos(inside) + F.lit(margin))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a variable that holds ``value``. The variable is computed once; written out, ``value`` would be computed
+    anew for every element of a lambda that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_softmax(scores: Column) -> Column:
     """Of an array of scores, shifted by the largest."""
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.transform(scores, lambda x: x - top - F.log(total))
+
+    def shifted(s: Column, top: Column) -> Column:
+        total = F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        return let(top + F.log(total), lambda off: F.transform(s, lambda x: x - off))
+
+    return let(scores, lambda s: let(F.array_max(s), lambda top: shifted(s, top)))
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:

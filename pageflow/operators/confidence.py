@@ -73,7 +73,9 @@ def low_confidence_share(predictions: DataFrame, below: float = 0.5) -> DataFram
 def most_common(chars: DataFrame, n: int = 30, order: list[str] | None = None) -> DataFrame:
     """The n most frequent chars, first seen first on ties: char, n, share in percent, rank. ``order`` names the columns
     that say what was seen first."""
-    seen = F.min(F.struct(*(order or ["ordinal"]))).alias("_seen")
+    names = order or ["ordinal"]
+    # One number is aggregated by hashing, a struct by sorting all rows.
+    seen = (F.min(names[0]) if len(names) == 1 else F.min(F.struct(*names))).alias("_seen")
     counts = chars.groupBy("char").agg(F.count(F.lit(1)).alias("n"), seen)
     top = counts.orderBy(F.desc("n"), "_seen").limit(n)
     total = chars.agg(F.count(F.lit(1)).alias("_total"))

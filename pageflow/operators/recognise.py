@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine_logit, log_softmax
+from ..functions.numbers import dot, let, log_softmax, norm
 
 #: Classes up to which their weights travel as one broadcast row.
 MAX_CLASSES = 20_000
@@ -24,13 +24,16 @@ def topk_candidates(embeddings: DataFrame, weights: DataFrame, k: int = 5, scale
     n = weights.count()
     if n > MAX_CLASSES:
         raise ValueError(f"{n} classes; at most {MAX_CLASSES} can be broadcast")
-    one = weights.agg(F.sort_array(F.collect_list(F.struct("label", "weight"))).alias("_w"))
+    one = weights.withColumn("norm", F.greatest(norm(F.col("weight")), F.lit(1e-12))).agg(F.sort_array(F.collect_list(F.struct("label", "weight", "norm"))).alias("_w"))
     joined = embeddings.crossJoin(F.broadcast(one))
-    logits = F.transform("_w", lambda w: cosine_logit(F.col("embedding"), w["weight"], scale))
-    logp = joined.withColumn("_p", log_softmax(logits))
-    entry = F.transform(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.struct((-F.get(F.col("_p"), i)).alias("neg"), F.get(F.col("_w"), i)["label"].alias("class_id")))
-    best = F.transform(F.slice(F.array_sort(entry), 1, k), lambda s: F.struct(s["class_id"].alias("class_id"), (-s["neg"]).alias("logp")))
-    return logp.withColumn("topk", best).drop("_w", "_p")
+    size = let(norm(F.col("embedding")), lambda n: F.greatest(n, F.lit(1e-12)))
+    logits = let(size, lambda n: F.transform("_w", lambda w: scale * dot(F.col("embedding"), w["weight"]) / (n * w["norm"])))
+
+    def best(logp: Column) -> Column:
+        entry = F.transform(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.struct((-F.get(logp, i)).alias("neg"), F.get(F.col("_w"), i)["label"].alias("class_id")))
+        return F.transform(F.slice(F.array_sort(entry), 1, k), lambda s: F.struct(s["class_id"].alias("class_id"), (-s["neg"]).alias("logp")))
+
+    return joined.withColumn("topk", let(log_softmax(logits), best)).drop("_w")
 
 
 def topk_matrix(embeddings: DataFrame, weights: DataFrame, k: int = 5, scale: float = 16.0) -> DataFrame:
