@@ -811,7 +811,7 @@ def lr_schedules(spark, d):
     return _r(spark.range(600).select(i.cast("int").alias("step"), numbers.multistep_rate(i, 0.01, [100, 250]).alias("multistep"), numbers.linear_rate(i, 0.01, 600).alias("linear"), numbers.warmup_cosine_rate(i, 0.01, 50, 600, 0.001).alias("warmup")), "multistep", "linear", "warmup", digits=9)
 
 
-@query(f"WITH {BOX}, q AS (SELECT page, idx, least(floor(255 * (least(greatest((x1 - 300) / 15000.0::DOUBLE, -0.02), 0.02) + 0.02) / 0.04), 254)::INT AS q FROM box) SELECT page, idx, q, round(((q + 0.5) * 0.04 / 255 - 0.02) * 600, 6)::DOUBLE AS back FROM q")
+@query(f"WITH {BOX}, q AS (SELECT page, idx, least(floor(255 * (least(greatest((x1 - 300) / 2.5e1 / 600, -2e-2), 2e-2) + 2e-2) / 4e-2), 254)::INT AS q FROM box) SELECT page, idx, q, round(((q + 5e-1) * 4e-2 / 255 - 2e-2) * 600, 6) AS back FROM q")
 def flow_quantised(spark, d):
     q = numbers.quantised_flow((F.col("x1") - 300) / 25.0, F.lit(600))
     return boxes(spark, d).select("page", "idx", q.alias("q")).withColumn("back", F.round(numbers.dequantised_flow(F.col("q"), F.lit(600)), 6))
