@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, sized, written
+from .common import drop_written, written
 from .textvec import _CODES, _RNG, buffers, mix, powers, prefix_hash, slices
 
 LENGTH, SEED = 200, 32
@@ -39,8 +39,8 @@ HOT = 4000
 TASK_BYTES = 6 << 20
 #: Bits of the map for each marked fingerprint, and the most bits of a map (128 MB).
 BITS_EACH, MAX_BITS = 16, 30
-#: Rows with removals up to which they are broadcast to the last scan.
-MAX_BROADCAST_ROWS = 150_000
+#: Bytes of removed spans (16 a span, and 50 a row) up to which they are broadcast to the last scan.
+MAX_BROADCAST_BYTES = 16 << 20
 _AT = np.uint64((1 << 28) - 1)
 _CODES2 = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -269,7 +269,7 @@ def _hot_repeats(distinct: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """row, pairs: all repeated windows of each row that has any, as (first, last) int64 pairs in no order."""
+    """row, spans: what is removed of each row that loses anything, as sorted (first, end) int64 pairs of bytes."""
     spark = docs.sparkSession
     fps = written(_anchor_counts(docs), "anchors")
     marks = spark.sparkContext.broadcast(_bit_map(fps))
@@ -294,8 +294,23 @@ def removals(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"row": b.column("row"), "pairs": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())]).cast(pa.binary())})
 
     moved = placed.mapInArrow(shift, "row long, pairs binary")
+
+    def merge(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            spans = []
+            for own in b.column("pairs").to_pylist():
+                p = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+                p = p[np.argsort(p[:, 0], kind="stable")]
+                end = np.maximum.accumulate(p[:, 1] + LENGTH)
+                new = np.concatenate(([True], p[1:, 0] > end[:-1]))
+                last = np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)
+                spans.append(np.stack((p[new, 0], end[last]), 1).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "spans": pa.array(spans, pa.binary())})
+
     # The pieces of one text meet: no more of them than the text has bytes.
-    out = written(moved.groupBy("row").agg(F.collect_list("pairs").alias("pairs")), "removals")
+    out = written(moved.groupBy("row").agg(F.collect_list("pairs").alias("pairs")).mapInArrow(merge, "row long, spans binary"), "removals")
     for x in (runs_, distinct, hot, found):
         drop_written(x)
     return out
@@ -305,24 +320,26 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes as text) of every row."""
     gone = removals(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    joined = rows.join(sized(gone, MAX_BROADCAST_ROWS), "row", "left").select("doc_id", "text", "pairs")
+    bytes_ = gone.agg(F.sum(F.octet_length("spans") + 50)).first()[0] or 0
+    side = F.broadcast(gone) if bytes_ <= MAX_BROADCAST_BYTES else gone
+    joined = rows.join(side, "row", "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            lists = batch.column("pairs").to_pylist()
+            lists = batch.column("spans").to_pylist()
             for i, j in slices(offsets):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 edge = np.zeros(len(own) + 1, np.int64)
                 for t in range(i, j):
                     if lists[t]:
-                        p = np.frombuffer(b"".join(lists[t]), "<i8").reshape(-1, 2) + at[t - i]
-                        if p[:, 1].max() + LENGTH > at[t - i + 1]:
+                        p = np.frombuffer(lists[t], "<i8").reshape(-1, 2) + at[t - i]
+                        if p[-1, 1] > at[t - i + 1]:
                             raise ValueError("the documents changed between two scans")
                         np.add.at(edge, p[:, 0], 1)
-                        np.subtract.at(edge, p[:, 1] + LENGTH, 1)
+                        np.subtract.at(edge, p[:, 1], 1)
                 bad = np.cumsum(edge[:-1]) > 0
                 start = bad.copy()
                 start[1:] &= ~bad[:-1]
