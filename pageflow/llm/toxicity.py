@@ -107,8 +107,9 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     out = np.zeros((size, 2))
     common = _featured(sample, None).coalesce(4).mapInArrow(add, "at long, neg long, pos long").groupBy("at").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("neg") + F.col("pos") >= MIN_DOCS)
-    got = common.toPandas().to_numpy(np.int64)  # at most a row for each bucket
-    out[got[:, 0]] = got[:, 1:]
+    got = common.toArrow()  # at most a row for each bucket
+    at = got.column("at").to_numpy()
+    out[at, 0], out[at, 1] = got.column("neg").to_numpy(), got.column("pos").to_numpy()
     return out
 
 
