@@ -6,8 +6,9 @@ place. Every n-gram of a text probes the index; hits on neighbouring diagonals a
 alignment compares word by word with the template. A candidate counts if the matched words cover enough of the template.
 
 One row for each match: doc_id, license, coverage (matched words / template words), first_word and last_word in the
-text, first_byte and end_byte. Overlapping matches of several templates: the one with more matched words stays, then the
-alphabetically first. Null, empty and word-less texts have no row. Rows that repeat are each reported; extra columns are
+text, first_byte and end_byte. The templates are whole notices and whole short licences, see ``license_texts``. Overlapping
+matches of several templates: the one with more matched words stays, then the one with the larger coverage (so a licence
+wins over a look-alike that it matches but for a word), then the alphabetically first. Null, empty and word-less texts have no row. Rows that repeat are each reported; extra columns are
 ignored.
 """
 
@@ -16,28 +17,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .license_texts import TEMPLATES
 from .textvec import WORD_ALNUM, buffers, prefix_hash, shingles, slices, span_hash, words, _CODES, LOWER
 
 GRAM, WINDOW, BAND = 3, 4, 6
 MIN_COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
 
-# Notices that licences ask to be put on a work.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray):
@@ -48,9 +34,9 @@ def text_words(data: np.ndarray, offsets: np.ndarray):
 
 class Index:
     def __init__(self, templates: dict[str, str]):
-        self.names, self.words = sorted(templates), []
+        self.names, self.words = [name.partition("#")[0] for name in sorted(templates)], []
         rows: list[tuple[int, int, int]] = []
-        for k, name in enumerate(self.names):
+        for k, name in enumerate(sorted(templates)):
             raw = templates[name].encode()
             w, *_ = text_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             self.words.append(w)
@@ -121,11 +107,11 @@ def matches(index: Index, text: np.ndarray, at: np.ndarray, row: np.ndarray, min
         matched, first, last = align(index.words[t], text, d)
         coverage = matched / len(index.words[t])
         if coverage >= min_coverage:
-            found.append((-matched, index.names[t], coverage, first, last))
+            found.append((-matched, -coverage, index.names[t], first, last))
     kept: list[tuple[str, float, int, int]] = []
-    for _, name, coverage, first, last in sorted(found):
+    for _, coverage, name, first, last in sorted(found):
         if all(last < f or first > e for _, _, f, e in kept):
-            kept.append((name, coverage, first, last))
+            kept.append((name, -coverage, first, last))
     return sorted(kept, key=lambda x: x[2])
 
 

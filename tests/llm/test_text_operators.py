@@ -157,6 +157,18 @@ def test_licences(spark, tmp_path):
     assert abs(got[1]["coverage"] - (n - 1) / n) < 1e-9
 
 
+def test_look_alike_licences(spark, tmp_path):
+    t = license_scan.TEMPLATES
+    gnu = lambda kind, v: f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+    texts = {"BSD-2-Clause": t["BSD-2-Clause#0"], "BSD-3-Clause": t["BSD-3-Clause#0"], "GPL-2.0-statement": gnu("", "2"), "GPL-3.0-statement": gnu("", "3"), "AGPL-3.0-statement": gnu("Affero ", "3"), "LGPL-2.1-statement": gnu("Lesser ", "2.1")}
+    texts |= {n: t[f"{n}#program-url"] for n in ("GPL-2.0-header", "GPL-3.0-header", "LGPL-3.0-header", "AGPL-3.0-header")} | {n: t[n] for n in ("ISC", "0BSD", "MIT-text", "MIT-0-text", "Apache-2.0-header", "CC-BY-4.0", "CC-BY-NC-SA-4.0")}
+    docs = from_files(spark, tmp_path, [(i, "before " + x + " after") for i, x in enumerate(texts.values())])
+    got = license_scan.scan(docs).orderBy("doc_id").collect()
+    assert [(x["license"], x["coverage"], x["first_word"]) for x in got] == [(n, 1.0, 1) for n in texts]
+    for x, whole in zip(got, texts.values(), strict=True):  # the span ends with the text's last word
+        assert x["last_word"] == len(re.findall(r"[A-Za-z0-9]+", whole))
+
+
 def test_alignment_against_full_table():
     r = np.random.default_rng(0)
     for _ in range(30):
