@@ -169,6 +169,46 @@ def test_look_alike_licences(spark, tmp_path):
         assert x["last_word"] == len(re.findall(r"[A-Za-z0-9]+", whole))
 
 
+def py_licenses(index, text, low=0):
+    """The best of all alignments of every template at every place, then the same on its left and right."""
+    if not len(text):
+        return []
+    best = None
+    for name, w, need in zip(index.names, index.words, index.need, strict=True):
+        for d in range(-len(w) - license_scan.BAND, len(text) + license_scan.BAND):
+            matched, first, last = license_scan.align(w, text, d)
+            if matched >= need:
+                best = min(best or (1,), (-matched, -matched / len(w), name, last - first, first, last))
+    if best is None:
+        return []
+    _, coverage, name, _, first, last = best
+    return [*py_licenses(index, text[:first], low), (name, -coverage, low + first, low + last), *py_licenses(index, text[last + 1 :], low + last + 1)]
+
+
+def test_licences_against_every_place():
+    r = random.Random(8)
+    some = {k: license_scan.TEMPLATES[k] for k in ("MIT", "BSD", "Apache-2.0", "CC-BY-NC-4.0", "GPL-3.0", "MPL-2.0")}
+    index = license_scan.Index(some)
+    pool = sorted({w for t in some.values() for w in re.findall(r"[A-Za-z0-9]+", t)}) + ["x", "y", "the", "of"]
+    texts = ["Released under an MIT License", "Distributed under the MIT License", "Released under the MIT Licence", "Released under the MIT License. " * 3, "Released under MIT License Released under the MIT License"]
+    for _ in range(25):
+        text = []
+        for _ in range(r.randrange(1, 4)):
+            text += r.choices(pool, k=r.randrange(6))
+            for w in r.choice(list(some.values())).split():
+                text += [[w], [w], [w], [w], [w], [w], [r.choice(pool)], [], [w, r.choice(pool)]][r.randrange(9)]
+        texts.append(" ".join(text))
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    w, _, _, n = license_scan.text_words(data, offsets)
+    first = np.concatenate(([0], np.cumsum(n)))
+    doc, template, diagonal = index.candidates(w, first)
+    got = [license_scan.matches(index, w[first[i] : first[i + 1]], template[doc == i], diagonal[doc == i] - first[i]) for i in range(len(texts))]
+    assert [[m[0] for m in x] for x in got[:4]] == [["MIT"]] * 3 + [["MIT"] * 3]
+    assert sum(map(len, got)) > 30
+    assert got == [py_licenses(index, w[first[i] : first[i + 1]]) for i in range(len(texts))]
+
+
 def test_alignment_against_full_table():
     r = np.random.default_rng(0)
     for _ in range(30):
