@@ -548,8 +548,7 @@ def masked_rerank(spark, d):
 
 @query()
 def backoff_model(spark, d):
-    head = documents(spark, d).select(F.col("source").alias("text"))
-    return lm.backoff_table(head).select("n", F.array_join("ctx", " ").alias("ctx"), "token", F.round("log10_p", 6).alias("log10_p"), F.round("log10_backoff", 6).alias("log10_backoff"))
+    return lm.backoff_table(documents(spark, d)).select("n", F.array_join("ctx", " ").alias("ctx"), "token", F.round("log10_p", 6).alias("log10_p"), F.round("log10_backoff", 6).alias("log10_backoff"))
 
 
 @query("""WITH l AS (SELECT length(text) AS n FROM documents WHERE length(text) >= 10) SELECT count(*) AS num_texts, min(n)::INT AS min_len, max(n)::INT AS max_len, round(avg(n), 6) AS mean_len, (SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM l) WHERE i = (SELECT count(*) // 2 + 1 FROM l))::INT AS median_len_approx FROM l""")

@@ -1,11 +1,12 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pageflow import schemas
+from pageflow import catalogue, schemas
 from pageflow.operators import confidence, datasets, decode, detect, evalstats, image_quality, layout, lm, raster, recognise, tiling
 
 BOXES = "page string, idx int, x1 int, y1 int, x2 int, y2 int"
@@ -204,6 +205,34 @@ def test_language_model(spark):
     assert 0 < sum(10 ** r["log10_p"] for r in ctx) <= 1.0
 
 
+def py_backoff(texts, order, discount=0.75):
+    seqs = [[lm.BEGIN, *t, lm.END] for t in texts if t is not None]
+    count = {n: Counter(tuple(s[i : i + n]) for s in seqs for i in range(len(s) - n + 1)) for n in range(1, order + 1)}
+    p, bow = {}, {}
+    for n in range(1, order + 1):
+        own = {g: c if n == order else max(1, sum(h[1:] == g for h in count[n + 1])) for g, c in count[n].items()}
+        for ctx in {g[:-1] for g in own}:
+            here = {g: c for g, c in own.items() if g[:-1] == ctx}
+            left = discount * len(here) / sum(here.values())
+            bow[ctx] = math.log10(left)
+            for g, c in here.items():
+                p[g] = max(c - discount, 0) / sum(here.values()) + left * (p.get(g[1:], 1e-7) if n > 1 else 1e-5)
+    return sorted((len(g), g[:-1], g[-1], round(math.log10(v), 6), round(bow.get(g, 0.0) if len(g) < order else 0.0, 6)) for g, v in p.items())
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_backoff_against_brute_force(spark, order):
+    texts = ["abab cab", "ab", "", "a", None, "b\U0002000b\u00e9a", "abab cab", "\x01a\x01"]
+    got = lm.backoff_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), order).collect()
+    assert sorted((r["n"], tuple(r["ctx"]), r["token"], round(r["log10_p"], 6), round(r["log10_backoff"], 6)) for r in got) == py_backoff(texts, order)
+
+
+def test_backoff_query_reads_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "ab", "web"), (2, "ba", "web")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["backoff_model"](spark, str(tmp_path)).collect()
+    assert sorted((r["n"], tuple(r["ctx"].split()), r["token"], r["log10_p"], r["log10_backoff"]) for r in got) == py_backoff(["ab", "ba"], 3)
+
+
 def test_recognition(spark):
     e = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.9, 0.1], 0), (2, [0.0, 1.0], 1)], "id int, embedding array<float>, label int")
     w = recognise.class_weights(e)
