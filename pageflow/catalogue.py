@@ -170,9 +170,12 @@ def json_defaults(spark, d):
     return confidence.with_defaults(parsed.select("event_id", "p.char", "p.prob", F.coalesce("p.k", F.lit(-1)).alias("k")))
 
 
-@query(f"WITH {REC}, f AS (SELECT DISTINCT folder FROM rec), a(folder) AS (SELECT unnest(range(0, 400))) SELECT a.folder, CASE WHEN f.folder IS NULL THEN 'failed' ELSE 'ok' END AS status FROM a LEFT JOIN f USING (folder)")
+@query(f"WITH {REC}, f AS (SELECT DISTINCT folder FROM rec), a AS (SELECT c_custkey AS folder FROM customer UNION SELECT folder FROM f) SELECT a.folder, CASE WHEN f.folder IS NULL THEN 'failed' ELSE 'ok' END AS status FROM a LEFT JOIN f USING (folder)")
 def folder_status(spark, d):
-    return confidence.folder_status(spark.range(400).select(F.col("id").alias("folder")), recognitions(spark, d))
+    """The listed folders are all customers and all folders with results."""
+    rec = recognitions(spark, d)
+    listed = _table(spark, d, "customer").select(F.col("c_custkey").alias("folder")).unionByName(rec.select("folder")).distinct()
+    return confidence.folder_status(listed, rec)
 
 
 @query()
@@ -629,10 +632,14 @@ def file_priority(spark, d):
     return datasets.pick_by_priority(every.unionByName(more), "doc_id", [".jpg", ".png"]).select(F.col("doc_id").alias("a"), F.when(F.col("ext") == ".jpg", 0).otherwise(1).cast("long").alias("ext"))
 
 
-@query("SELECT user_id AS run, max(value) AS best FROM events GROUP BY user_id")
+@query("""WITH r AS (SELECT user_id AS run, list({'e': event_id, 'v': value} ORDER BY event_id) AS es FROM events GROUP BY user_id),
+f AS (SELECT run, list_reduce(list_prepend({'best': '-infinity'::DOUBLE, 'at': -1, 'bad': 0, 'stop': NULL::BIGINT, 'e': 0::BIGINT, 'v': 0.0::DOUBLE}, list_transform(es, lambda x: {'best': 0.0::DOUBLE, 'at': 0, 'bad': 0, 'stop': NULL::BIGINT, 'e': x.e, 'v': x.v::DOUBLE})), lambda a, x:
+ CASE WHEN a.stop IS NOT NULL THEN a WHEN x.v > a.best + 5 THEN {'best': x.v, 'at': x.e::INT, 'bad': 0, 'stop': NULL::BIGINT, 'e': x.e, 'v': x.v}
+ ELSE {'best': a.best, 'at': a.at, 'bad': a.bad + 1, 'stop': CASE WHEN a.bad + 1 >= 3 THEN x.e END, 'e': x.e, 'v': x.v} END) AS s FROM r)
+SELECT run, s.best AS best, s.at AS best_epoch, s.stop::INT AS stop_epoch FROM f""")
 def early_stopping(spark, d):
     runs = _table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), "value")
-    return datasets.early_stop(runs, gain=0.0, patience=1_000_000).select("run", "best")
+    return datasets.early_stop(runs, gain=5.0, patience=3)
 
 
 def _coco(spark, d):
@@ -648,7 +655,10 @@ def coco_images(spark, d):
     return _coco(spark, d)[0].select(F.col("id").cast("long").alias("id"), "file_name", "width", "height")
 
 
-@query()
+@query(f"""WITH {BOX}, t AS (SELECT (j * 2 + i)::INT AS tile_idx, i * 320 AS x0, j * 320 AS y0, least(640, 720 - i * 320) AS w, least(640, 720 - j * 320) AS h FROM (SELECT unnest(range(2)) AS j), (SELECT unnest(range(2)) AS i)),
+m AS (SELECT page, tile_idx, idx, greatest(x1 - x0, 0)::DOUBLE AS tx, greatest(y1 - y0, 0)::DOUBLE AS ty, (least(x2 - x0, w) - greatest(x1 - x0, 0))::DOUBLE AS tw, (least(y2 - y0, h) - greatest(y1 - y0, 0))::DOUBLE AS th FROM box, t
+ WHERE (x1 + x2) / 2.0 >= x0 AND (x1 + x2) / 2.0 < x0 + w AND (y1 + y2) / 2.0 >= y0 AND (y1 + y2) / 2.0 < y0 + h AND least(x2 - x0, w) - greatest(x1 - x0, 0) >= 2 AND least(y2 - y0, h) - greatest(y1 - y0, 0) >= 2)
+SELECT row_number() OVER (ORDER BY page, tile_idx, idx) - 1 AS id, dense_rank() OVER (ORDER BY page, tile_idx) - 1 AS image_id, [tx, ty, tw, th] AS bbox, tw * th AS area FROM m""")
 def coco_annotations(spark, d):
     return _coco(spark, d)[1].select("id", "image_id", "bbox", "area")
 
@@ -804,10 +814,13 @@ def pad_sizes(spark, d):
     return page_sizes(spark, d).select("page", geometry.pad_to_multiple(F.col("width"), 128).alias("right_pad"), geometry.pad_to_multiple(F.col("height"), 128).alias("bottom_pad"))
 
 
-@query("SELECT i::INT AS step, round(0.01 * power(0.1, (i >= 100)::INT + (i >= 250)::INT), 9) AS multistep, round(0.01 * (1 - i / 600), 9) AS linear, round(CASE WHEN i < 50 THEN 0.01 * i / 50 ELSE 0.001 + 0.5 * 0.009 * (1 + cos(pi() * (i - 50) / 550)) END, 9) AS warmup FROM (SELECT unnest(range(600)) AS i)")
+@query("""WITH s AS (SELECT unnest(range(600)) AS i), v AS (SELECT i, CASE WHEN i < 225 THEN 1 - i / 225 WHEN i < 375 THEN 0.2 ELSE 0.1 END * CASE WHEN i % 7 < 3 THEN (i % 7) / 3 ELSE 2 - (i % 7) / 3 END AS w FROM s)
+SELECT i::INT AS step, round(0.01 * power(0.1, (i >= 100)::INT + (i >= 250)::INT), 9) AS multistep, round(0.01 * (1 - i / 600), 9) AS linear, round(CASE WHEN i < 50 THEN 0.01 * (i + 1) / 50 ELSE 0.001 + 0.5 * 0.009 * (1 + cos(pi() * (i - 50) / 550)) END, 9) AS warmup,
+round(CASE WHEN i < 200 THEN 0.01 * power(0.1, (i >= 100)::INT) ELSE 0.005 * power(0.1, (i >= 250)::INT) END, 9) AS restart, round(0.01 * CASE WHEN i < 3 THEN greatest(w, 0.1) ELSE w END, 9) AS vibrate FROM v""")
 def lr_schedules(spark, d):
     i = F.col("id")
-    return _r(spark.range(600).select(i.cast("int").alias("step"), numbers.multistep_rate(i, 0.01, [100, 250]).alias("multistep"), numbers.linear_rate(i, 0.01, 600).alias("linear"), numbers.warmup_cosine_rate(i, 0.01, 50, 600, 0.001).alias("warmup")), "multistep", "linear", "warmup", digits=9)
+    rates = {"multistep": numbers.multistep_rate(i, 0.01, [100, 250]), "linear": numbers.linear_rate(i, 0.01, 600), "warmup": numbers.warmup_cosine_rate(i, 0.01, 50, 600, 0.001), "restart": numbers.multistep_restart_rate(i, 0.01, [100, 250], 0.1, [200], [0.5]), "vibrate": numbers.vibrate_rate(i, 0.01, 600)}
+    return _r(spark.range(600).select(i.cast("int").alias("step"), *[c.alias(n) for n, c in rates.items()]), *rates, digits=9)
 
 
 @query(f"WITH {BOX}, q AS (SELECT page, idx, least(floor(255 * (least(greatest((x1 - 300) / 2.5e1 / 600, -2e-2), 2e-2) + 2e-2) / 4e-2), 254)::INT AS q FROM box) SELECT page, idx, q, round(((q + 5e-1) * 4e-2 / 255 - 2e-2) * 600, 6) AS back FROM q")

@@ -128,7 +128,7 @@ def cosine_restart_rate(step: Column, base: float, periods: list[int], weights:
 
 def warmup_cosine_rate(step: Column, base: float, warmup: int, total: int, floor: float = 0.0) -> Column:
     decay = floor + 0.5 * (base - floor) * (1 + F.cos(F.lit(math.pi) * (step - warmup) / max(total - warmup, 1)))
-    return F.when(step < warmup, base * step / max(warmup, 1)).otherwise(decay)
+    return F.when(step < warmup, base * (step + 1) / max(warmup, 1)).otherwise(decay)
 
 
 def charbonnier(d: Column, eps: float = 1e-3) -> Column:
@@ -141,23 +141,29 @@ def edge_colour(greedy_ok: Column, final_ok: Column) -> Column:
 
 
 def multistep_restart_rate(step: Column, base: float, milestones: list[int], factor: float, restarts: list[int], weights: list[float]) -> Column:
-    """Steps down at milestones counted from the last restart, from that restart's weight times the base."""
-    out, next_start = None, 0
-    for start, weight in reversed(list(zip([0, *restarts], [1.0, *weights], strict=True))):
-        rate = weight * multistep_rate(step - start, base, milestones, factor)
-        out = rate if out is None else F.when(step < next_start, rate).otherwise(out)
-        next_start = start
+    """A restart sets the rate to its weight times the base; a milestone after it (both are absolute steps) multiplies it
+    by the factor, once for each time it is listed."""
+    if len(restarts) != len(weights):
+        raise ValueError("a weight for each restart")
+    out = F.lit(None).cast("double")
+    for start, weight in sorted({0: 1.0, **dict(zip(restarts, weights, strict=True))}.items()):
+        later = [m for m in milestones if m > start or (m == start and start not in restarts)]
+        out = F.when(step >= start, weight * multistep_rate(step, base, later, factor)).otherwise(out)
     return out
 
 
 def vibrate_rate(step: Column, base: float, total: int) -> Column:
-    """Falls from the base to nearly nothing while it swings between two lines, 80 times in all."""
-    top = base * (1 - step * 3 / (8 * total))
-    low = top * 0.1
-    period = max(1, total // 80)
-    phase = F.pmod(step, F.lit(period)) / period
-    swing = F.abs(1 - 2 * phase)
-    return low + (top - low) * swing
+    """A triangle of 80 periods under an envelope that falls to 0 over three eighths of the steps, stands at 0.2 for two
+    eighths and at 0.1 from there on; in the first half period the rate is a tenth of the base at least."""
+    period = total // 80
+    half = period // 2
+    if half < 1:
+        raise ValueError("at least 160 steps")
+    done = step / total
+    envelope = F.when(done < 3 / 8, 1 - done * 8 / 3).when(done < 5 / 8, 0.2).otherwise(0.1)
+    at = F.pmod(step, F.lit(period))
+    rate = envelope * F.when(at < half, at / half).otherwise(2 - at / half)
+    return base * F.when(step < half, F.greatest(rate, F.lit(0.1))).otherwise(rate)
 
 
 def quantised_flow(d: Column, size: Column, max_value: float = 0.02, levels: int = 255) -> Column:

@@ -103,6 +103,12 @@ def candidates_label(top: Column, n: int = 3) -> Column:
 
 
 def decoded(data: Column, invalid: str = "replace") -> Column:
-    """UTF-8 text of bytes; invalid sequences become replacement marks, or go."""
-    text = F.make_valid_utf8(data.cast("string"))
-    return F.replace(text, F.lit("�"), F.lit("")) if invalid == "ignore" else text
+    """UTF-8 text of bytes; invalid sequences become replacement marks, or go. Marks that the text itself has stay."""
+    raw = data.cast("string")
+    if invalid != "ignore":
+        return F.make_valid_utf8(raw)
+    # The text's own marks are spelt with two noncharacters meanwhile, so that what is left afterwards was invalid.
+    mark, own, same, other = (F.lit(x) for x in ("\ufffd", "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"))
+    spelt = F.replace(F.replace(raw, own, other), mark, same)
+    valid = F.replace(F.make_valid_utf8(spelt), mark, F.lit(""))
+    return F.replace(F.replace(valid, same, mark), other, own)

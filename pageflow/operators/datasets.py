@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import written
+
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
-    """Consecutive numbers in a total order, without one task that sees all rows: a range partitioning, counts by
-    partition, running offsets, and row numbers within partitions. The sort is written once, so that both uses see the
-    same partitions."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = ordered.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    return local.join(F.broadcast(counts.select("_p", before.alias("_before"))), "_p").withColumn(name, F.col("_before") + F.col("_i") - 1 + start).drop("_p", "_i", "_before")
+    """Consecutive numbers in a total order, without one task that sees all rows: a range partitioning, sorted within, is
+    written once with each row's partition and place; offsets follow from counts by partition. Whatever is read of the
+    result later, boundaries are those of the written stage."""
+    place = F.monotonically_increasing_id()  # the partition above bit 33, the place in it below
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    made = written(ordered, "dense-ids").withColumn("_part", F.shiftright("_place", 33))
+    counts = made.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    at = F.col("_place").bitwiseAND((1 << 33) - 1)
+    return made.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + at + start).drop("_part", "_place", "_before")
 
 
 def pending(work: DataFrame, done: DataFrame, key: str, inputs: list[DataFrame] | None = None) -> DataFrame:

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 
 def reading_order(boxes: DataFrame, page: str = "page", index: str = "idx") -> DataFrame:
-    """Adds ``col_id`` and ``pos``: columns from the right, each from top to bottom.
+    """Adds ``col_id`` and ``pos``: columns from the right, each from top to bottom. Coordinates count as whole numbers,
+    cut towards zero.
 
     A new column begins where the centre moves further than 0.8 of the page's median width (5 pixels at least) from the
     box before. One shuffle on the page serves the median, the columns and the positions.
     """
     page_all = Window.partitionBy(page)
     by_x = page_all.orderBy(F.desc("_cx"), index)
-    cx, cy = (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0
-    width = F.greatest(F.lit(1), F.col("x2") - F.col("x1"))
+    x1, y1, x2, y2 = (F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2"))
+    cx, cy = (x1 + x2) / 2.0, (y1 + y2) / 2.0
+    width = F.greatest(F.lit(1), x2 - x1)
     gap = F.greatest((F.median(width).over(page_all) * 0.8).cast("int"), F.lit(5))
     moved = F.abs(F.col("_cx") - F.lag("_cx").over(by_x)) > F.col("_gap")
     walked = boxes.withColumns({"_cx": cx, "_cy": cy, "_gap": gap}).withColumn("_new", F.coalesce(moved, F.lit(False)).cast("int"))

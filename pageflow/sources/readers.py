@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import text as T
 
 # Image endings in the order in which they are preferred.
-IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp"]
+IMAGE_EXTENSIONS = [".jpg", ".png", ".jpeg", ".tif", ".tiff", ".webp", ".bmp"]
 MASK_EXTENSIONS = [".jpg", ".png", ".jpeg"]
 
 
@@ -188,31 +188,78 @@ def flows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def options(text: str, base: str = ".") -> dict:
-    """A small nested option file (``key: value`` lines, two spaces a level); values of keys that end in ``path`` or
-    ``dir`` are resolved against ``base``."""
+    """A nested option file: ``key: value`` lines, deeper lines below their key, ``- value`` items of a list. Values of
+    keys that end in ``path`` or ``dir`` are resolved against ``base``. What is not of this form is an error."""
     import ast
     import os
 
-    out: dict = {}
-    stack: list[tuple[int, dict]] = [(-1, out)]
-    for line in text.splitlines():
-        body = line.split(" #")[0].rstrip()
-        if not body.strip() or body.lstrip().startswith("#"):
-            continue
-        depth = len(body) - len(body.lstrip())
-        key, _, raw = body.strip().partition(":")
-        while stack[-1][0] >= depth:
-            stack.pop()
-        raw = raw.strip()
-        if not raw:
-            stack[-1][1][key] = child = {}
-            stack.append((depth, child))
-            continue
+    def plain(raw: str, key: str):
+        known = {"true": True, "false": False, "null": None, "~": None}
+        if raw.lower() in known:
+            return known[raw.lower()]
         try:
-            value = {"true": True, "false": False, "null": None, "~": None}[raw.lower()] if raw.lower() in ("true", "false", "null", "~") else ast.literal_eval(raw)
+            value = ast.literal_eval(raw)
         except (ValueError, SyntaxError):
             value = raw
         if isinstance(value, str) and key.endswith(("path", "dir")) and not os.path.isabs(value) and "://" not in value:
             value = os.path.normpath(os.path.join(base, value))
-        stack[-1][1][key] = value
+        return value
+
+    lines = []
+    for line in text.splitlines():
+        body = line.split(" #")[0].rstrip()
+        if body.strip() and not body.lstrip().startswith("#"):
+            lines.append((len(body) - len(body.lstrip()), body.strip()))
+
+    def block(at: int, depth: int, key: str):
+        """The value that begins at a line, and the first line after it."""
+        if lines[at][1] == "-" or lines[at][1].startswith("- "):
+            items: list = []
+            while at < len(lines) and lines[at][0] == depth and (lines[at][1] == "-" or lines[at][1].startswith("- ")):
+                raw = lines[at][1][1:].strip()
+                if not raw:
+                    if at + 1 == len(lines) or lines[at + 1][0] <= depth:
+                        items.append(None)
+                        at += 1
+                    else:
+                        value, at = block(at + 1, lines[at + 1][0], key)
+                        items.append(value)
+                elif _pair(raw):
+                    # The item's first key stands on the line of its sign: read it two places further in.
+                    lines[at] = (depth + 2, raw)
+                    value, at = block(at, depth + 2, key)
+                    items.append(value)
+                else:
+                    items.append(plain(raw, key))
+                    at += 1
+            return items, at
+        out: dict = {}
+        while at < len(lines) and lines[at][0] == depth:
+            pair = _pair(lines[at][1])
+            if pair is None:
+                raise ValueError(f"not an option: {lines[at][1]}")
+            name, raw = pair
+            at += 1
+            deeper = at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("- ")))
+            if raw:
+                out[name] = plain(raw, name)
+            elif deeper:
+                out[name], at = block(at, lines[at][0], name)
+            else:
+                out[name] = None
+        if at < len(lines) and lines[at][0] > depth:
+            raise ValueError(f"deeper than its key: {lines[at][1]}")
+        return out, at
+
+    if not lines:
+        return {}
+    out, at = block(0, lines[0][0], "")
+    if at < len(lines):
+        raise ValueError(f"not an option: {lines[at][1]}")
     return out
+
+
+def _pair(line: str) -> tuple[str, str] | None:
+    """Key and value of a ``key: value`` or ``key:`` line."""
+    key, colon, raw = line.partition(":")
+    return (key.strip().strip("'\""), raw.strip()) if colon and (not raw or raw[0] == " ") and key[:1] not in ("[", "{") else None

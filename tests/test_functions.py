@@ -106,3 +106,22 @@ def test_array_helpers(spark):
     scores = F.array(*[F.struct(F.lit(s).alias("score"), F.lit(i).alias("class_id")) for i, s in enumerate((0.1, 0.9, 0.9))])
     assert [r["class_id"] for r in one(spark, arrays.top_k(scores, 2))] == [1, 2]
     assert one(spark, arrays.zipped(F.array(F.lit(1), F.lit(2)), F.array(F.lit(10)), lambda a, b: a + b)) == [11]
+
+
+def test_invalid_bytes_go_and_own_marks_stay(spark):
+    df = spark.createDataFrame([(bytearray("a\ufffdb".encode() + b"\xff" + "\ufdd0\ufdd1c".encode()),)], "b binary")
+    got = df.select(text.decoded(F.col("b"), "ignore").alias("i"), text.decoded(F.col("b")).alias("r")).first()
+    assert got["i"] == "a\ufffdb\ufdd0\ufdd1c" and got["r"] == "a\ufffdb\ufffd\ufdd0\ufdd1c"
+
+
+def test_schedules_step_by_step(spark):
+    """Against schedulers that go step by step from the rate before."""
+    steps = spark.range(600)
+    milestones, restarts, weights = [100, 200, 250, 250], [200, 400], [0.5, 0.25]
+    got = [r[0] for r in steps.orderBy("id").select(numbers.multistep_restart_rate(F.col("id"), 0.01, milestones, 0.1, restarts, weights)).collect()]
+    rate = 0.01
+    for i, g in enumerate(got):
+        rate = 0.01 * weights[restarts.index(i)] if i in restarts else rate * 0.1 ** milestones.count(i)
+        assert abs(g - rate) < 1e-15
+    some = [r[0] for r in spark.createDataFrame([(s,) for s in (0, 10, 400, 1200)], "s int").select(numbers.vibrate_rate(F.col("s"), 1.0, 1600)).collect()]
+    assert [round(x, 3) for x in some] == [0.1, 0.983, 0.0, 0.0]

@@ -45,6 +45,12 @@ def test_reading_order_against_a_loop(spark):
         assert order == py_order([b for b in data if b[0] == page])
 
 
+def test_reading_order_cuts_coordinates(spark):
+    data = [("p", 0, 99.9, 0.0, 110.9, 10.0), ("p", 1, 91.2, 20.0, 102.2, 30.0)]  # whole numbers: centres 104.5, 96.5, gap 8
+    got = layout.reading_order(spark.createDataFrame(data, "page string, idx int, x1 double, y1 double, x2 double, y2 double"))
+    assert rows(got, "idx", "col_id") == [(0, 0), (1, 0)]
+
+
 def test_gap_equal_to_threshold_stays_in_column(spark):
     data = [("p", 0, 100, 0, 110, 10), ("p", 1, 92, 20, 102, 30), ("p", 2, 83, 40, 93, 50)]  # gap 8: 8 stays, 9 parts
     got = {r["idx"]: r["col_id"] for r in layout.reading_order(spark.createDataFrame(data, BOXES)).collect()}
@@ -280,6 +286,15 @@ def test_quality_measures(spark):
     assert abs(image_quality.frechet(m, c, m, c)) < 1e-6
 
 
+def test_blocks_are_cut_from_the_normalised_image(spark):
+    img = np.random.default_rng(3).integers(0, 256, (200, 100)).astype(float)
+    whole = image_quality.normalised_luma(img[:192, :96])
+    got = image_quality.image_features(img)
+    assert got.shape == (2, 36) and np.allclose(got[1, :18], image_quality.natural_features(whole[96:192, :96]))
+    half = image_quality.normalised_luma(img[:192, :96].reshape(96, 2, 48, 2).mean((1, 3)))
+    assert np.allclose(got[0, 18:], image_quality.natural_features(half[:48]))
+
+
 def test_mean_row(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("b", 3.0, 4.0)], "file string, x double, y double")
     assert {r["file"]: (r["x"], r["y"]) for r in image_quality.mean_row(df).collect()}["MEAN"] == (2.0, 4.0)
@@ -298,6 +313,22 @@ def test_ids_and_splits(spark):
     assert 0.35 < share < 0.65
 
 
+@pytest.mark.parametrize("partitions", [4, 211])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_dense_ids_keep_wide_rows(spark, partitions, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 300_000
+        df = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+        got = datasets.dense_ids(df, ["k"])
+        assert got.agg(F.count(F.lit(1)), F.countDistinct("id"), F.count_if(F.col("id") != F.col("k")), F.countDistinct("wide")).first() == (n, n, 0, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_incremental(spark):
     work, done, need = (spark.createDataFrame([(i,) for i in ids], "k int") for ids in (range(6), (1, 2), (2, 3, 4)))
     assert rows(datasets.pending(work, done, "k", [need]), "k") == [(3,), (4,)]

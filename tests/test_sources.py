@@ -85,6 +85,10 @@ def test_flows(spark, tmp_path):
 
 
 def test_options():
+    nested = readers.options("train:\n  names:\n  - a\n  - b\n  sets:\n    - name: x\n      n: 1\n    - name: y\nempty:\n")
+    assert nested == {"train": {"names": ["a", "b"], "sets": [{"name": "x", "n": 1}, {"name": "y"}]}, "empty": None}
+    with pytest.raises(ValueError):
+        readers.options("a: 1\n  b: 2\n")
     o = readers.options("a: 1\nb:\n  weights_path: w.pth\n  flag: true  # yes\nc: [1, 2]\n", "/base")
     assert o == {"a": 1, "b": {"weights_path": "/base/w.pth", "flag": True}, "c": [1, 2]}
 
