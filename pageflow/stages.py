@@ -24,8 +24,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the stages that this process has written and not deleted.
+_MADE: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written once in the shared folder: its lineage ends here, and a lost executor costs nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    _MADE.add(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _MADE.discard(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table just as :func:`written` returned it; nothing may read it again."""
+    if getattr(df, "_stage", None) in _MADE:
+        _delete(df.sparkSession, df._stage)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all stages of this process, those of failed runs too, once their results have been consumed."""
+    for path in list(_MADE):
+        _delete(spark, path)
