@@ -1,13 +1,16 @@
 """Benchmark decontamination: windows of benchmark words in a broadcast hash set, in DataFrame functions only.
 
 Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. A window is ``WINDOW``
-consecutive words of an item; an item of fewer words, but not none, is one window. The first words of each window form a
-small hash set that the scan tests at every position (in the projection over the scan, without moving a row); positions
-that pass are verified against the whole windows by a join. Both sets are broadcast only below a counted bound; beyond
-it the windows of all positions meet the benchmark's in a shuffled join.
-
-Null or word-less texts have no words and no hits. A null item text has no windows; a null item_id is left out of the
-lists of items. Rows that repeat get one result row each. Overlapping hits count each word once.
+consecutive words of an item; an item of fewer words, but not none, is one window. Windows are known by a 64-bit hash of
+their words. The scan hashes the words at every place of a text, in the code that reads it, and probes the broadcast set
+of hashes; only places that pass become rows, with their words, and are verified against the windows themselves. The set
+is broadcast a share at a time, as many shares as keep each below ``MAX_BROADCAST_WINDOWS``; every share is another scan,
+so no text and no place that misses is ever moved, however large the benchmark is.
+
+Null or word-less texts have no words and no hits. Very long texts are scanned as any other; a task holds one text's
+words. A null item text has no windows; a null item_id is left out of the lists of items. Rows that repeat get one result
+row each, as rows are known by file and place. Overlapping hits count each word once. Extra columns are ignored, and kept
+by ``remove`` whatever their names. An empty benchmark hits nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,20 +20,19 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import from_files, hot_join, numbered, row_maps, sized, split_by_rows, written
 
 WINDOW = 10
-#: So many leading words of a window are tested first.
-LEAD = 3
-#: The most windows (of up to ten words, so some MB) for which the sets are broadcast.
-MAX_BROADCAST_WINDOWS = 50_000
+#: The most hashes of windows (8 bytes each, some 60 in a hash table) that are broadcast at once.
+MAX_BROADCAST_WINDOWS = 1_000_000
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between words, once A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def word_array(text: Column) -> Column:
     lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, BETWEEN), "")  # a text may begin or end between words
 
 
 def bound(value: Column, body) -> Column:
@@ -38,76 +40,72 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def spans_of(w: Column, at: Column, length: int) -> Column:
-    return F.array_join(F.slice(w, at + 1, length), " ")
+def window_hash(w: Column, at: Column, length: int) -> Column:
+    """Hash of so many words from a place on; of fewer where the text ends, which no window's length equals."""
+    return F.xxhash64(F.lit(length), *[F.get(w, at + j) for j in range(length)])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """window text, its number of words, its leading words, and the items that have it."""
+    """window text, its number of words, its hash, and the items that have it."""
     w = F.col("w")
     n = F.size(w)
     starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return (
+    grams = (
         benchmark.select("item_id", word_array(F.col("text")).alias("w"))
         .select("item_id", "w", F.explode(starts).alias("at"))
         .select("item_id", F.slice(w, F.col("at") + 1, window).alias("gram"))
-        .groupBy(F.array_join("gram", " ").alias("window"))
-        .agg(F.max(F.size("gram")).alias("length"), F.max(F.slice("gram", 1, LEAD)).alias("lead"), F.collect_set("item_id").alias("items"))
+        .groupBy("gram")
+        .agg(F.collect_set("item_id").alias("items"))
     )
-
-
-def _lead_hash(w: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(w, i + j) for j in range(k)])
-
-
-def _positions(w: Column, n: int) -> Column:
-    """Places at which n words are left."""
-    return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-
-
-def _at_lead(w: Column, k: int, leads: list[int] | None) -> Column:
-    at = _positions(w, k)
-    return at if leads is None else F.filter(at, lambda i: _lead_hash(w, i, k).isin(leads))
-
-
-def _whole(w: Column, at: Column, n: int) -> Column:
-    fits = F.filter(at, lambda i: i + n <= F.size(w))
-    return F.transform(fits, lambda i: F.struct(i.cast("int").alias("at"), F.lit(n).alias("length"), spans_of(w, i, n).alias("window")))
-
-
-def _candidates(w: Column, lengths: list[int], leads: dict[int, list[int]] | None) -> Column:
-    """(at, length, window) at all places that the set of leading words lets through; at all places without one."""
-    parts = [_whole(w, _at_lead(w, min(n, LEAD), leads and leads[min(n, LEAD)]), n) for n in lengths]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    length, h = F.size("gram"), F.lit(None).cast("long")
+    for k in range(1, window + 1):
+        h = F.when(length == k, window_hash(F.col("gram"), F.lit(0), k)).otherwise(h)
+    return grams.select(F.array_join("gram", " ").alias("window"), length.alias("length"), h.alias("h"), "items")
+
+
+def _places(rows: DataFrame, length: int, hashes: DataFrame, marks: bool) -> DataFrame:
+    """_file, _at, doc_id, n_words, at, length, window: every place whose window of ``length`` words has a known hash and,
+    with ``marks``, a row for each document, without a place. Texts are exploded and probed within one stage's code."""
+    words = rows.select("_file", "_at", "doc_id", word_array(F.col("text")).alias("w"))
+    # Place 0 stands for the document itself; the array is thus never empty, and no filter reads the text once more.
+    each = words.select("_file", "_at", "doc_id", F.size("w").alias("n_words"), "w", F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("w"))).alias("p", "_word")).drop("_word")
+    if not marks:
+        each = each.where("p > 0")
+    at = F.col("p") - 1
+    met = each.withColumn("h", F.when((F.col("p") > 0) & (at + length <= F.col("n_words")), window_hash(F.col("w"), at, length)))
+    met = met.join(F.broadcast(hashes.withColumn("known", F.lit(True))), "h", "left" if marks else "inner").where(F.col("known") | (F.col("p") == 0))
+    hit = F.col("known").isNotNull()
+    return met.select("_file", "_at", "doc_id", "n_words", F.when(hit, at).alias("at"), F.when(hit, F.lit(length)).alias("length"), F.when(hit, F.array_join(F.slice("w", at + 1, length), " ")).alias("window"))
+
+
+def places(docs: DataFrame, known: DataFrame, window: int = WINDOW) -> DataFrame:
+    """A row for each document, and one for each place to verify. The marks come from the first share of whole windows."""
+    rows = numbered(docs, "doc_id", "text")
+    counts = {r[0]: r[1] for r in known.groupBy("length").count().collect()}  # at most ``window`` rows
+    out = None
+    for length in sorted({window, *counts}, reverse=True):
+        shares = max(1, -(-counts.get(length, 0) // MAX_BROADCAST_WINDOWS))
+        for k in range(shares):
+            hashes = known.where((F.col("length") == length) & (F.pmod("h", F.lit(shares)) == k)).select("h").distinct()
+            part = _places(rows, length, hashes, marks=out is None)
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text_hash, n_words, spans (array of at, length in words), items."""
+    """One row for each row of ``docs`` (:func:`from_files`): _file, _at, doc_id, n_words, spans (sorted array of at, length in words), items."""
     known = written(benchmark_windows(benchmark, window), "benchmark-windows")
-    lengths = {r[0]: r[1] for r in known.groupBy("length").count().collect()}  # at most ``window`` rows
-    small = sum(lengths.values()) <= MAX_BROADCAST_WINDOWS
-    leads = None
-    if small:
-        leads = {k: [] for k in range(1, LEAD + 1)}
-        rows = known.select(F.size("lead").alias("k"), F.when(F.size("lead") == 1, F.xxhash64(F.get("lead", F.lit(0)))).when(F.size("lead") == 2, F.xxhash64(F.get("lead", F.lit(0)), F.get("lead", F.lit(1)))).otherwise(F.xxhash64(*[F.get("lead", F.lit(j)) for j in range(LEAD)])).alias("h"))
-        for k, h in rows.distinct().toLocalIterator():
-            leads[k].append(h)
-    none = F.array().cast("array<struct<at:int,length:int,window:string>>")
-    found = lambda w: _candidates(w, sorted(lengths), leads) if lengths else none
-    # One row for each document (no window) and one for each place to verify, in a single pass over the texts.
-    each = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        bound(word_array(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.concat(F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("window"))), found(w)).alias("c"))).alias("x"),
-    ).select("doc_id", "text_hash", F.col("x.n").alias("n_words"), F.explode("x.c").alias("c")).select("doc_id", "text_hash", "n_words", "c.*")
+    each = written(places(docs, known, window), "places")
+    found = each.where("window is not null").select("_file", "_at", "at", "length", "window")
     side = known.select("window", "items")
-    met = each.join(F.broadcast(side) if small else side, "window", "left").where("window is null or items is not null")
-    return (
-        met.groupBy("doc_id", "text_hash")
-        .agg(F.max("n_words").alias("n_words"), F.count_if(F.col("window").isNull()).alias("n"), F.sort_array(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "length")))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-        .drop("n", "_")
-    )
+    if known.count() <= MAX_BROADCAST_WINDOWS:
+        met = found.join(F.broadcast(side), "window")
+    else:  # a window that many documents have is met by broadcast, the others by a shuffle
+        size = written(found.groupBy("window").agg(F.count(F.lit(1)).alias("size")).join(side, "window"), "found-windows")
+        met = hot_join(found, size, "window", "inner").drop("size")
+    marks = each.where("window is null").select("_file", "_at", "doc_id", "n_words")
+    spans = F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "length")))).alias("spans")
+    return marks.unionByName(met.drop("window"), allowMissingColumns=True).groupBy("_file", "_at").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), spans, F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
 def covered(spans: Column) -> Column:
@@ -122,7 +120,7 @@ def covered(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = hits(docs, benchmark)
+    found = hits(from_files(docs), benchmark)
     return found.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
@@ -133,18 +131,26 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _hit(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return hits(docs, benchmark).where(F.size("spans") > 0).select("_file", "_at", "spans")
+
+
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, with all their columns. A row goes if its text and id are those of a hit."""
-    bad = written(hits(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct(), "contaminated")
-    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    """The documents without any hit, with all their columns."""
+    docs = from_files(docs)
+    return split_by_rows(docs, row_maps(_hit(docs, benchmark)), inside=False)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and its words outside all hits, joined by single spaces (normalised words, as the scan sees them)."""
-    found = hits(docs, benchmark).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "spans")
-    joined = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")))
+    """doc_id and its words outside all hits, joined by single spaces (normalised words, as the scan sees them). Only texts
+    with hits meet their spans."""
+    docs = from_files(docs).select("doc_id", "text")
+    found = written(_hit(docs, benchmark), "spans")
+    maps = row_maps(found)
+    clean = split_by_rows(docs, maps, False).select("doc_id", F.array_join(word_array(F.col("text")), " ").alias("text"))
+    met = split_by_rows(docs, maps, True, "doc_id", "text", "_file", "_at").join(sized(found), ["_file", "_at"])
     left = bound(word_array(F.col("text")), lambda w: F.array_join(F.filter(w, lambda _, i: ~F.exists(F.col("spans"), lambda s: (i >= s["at"]) & (i < s["at"] + s["length"]))), " "))
-    return joined.select("doc_id", left.alias("text"))
+    return clean.unionByName(met.select("doc_id", left.alias("text")))
 
 
 ORACLE = r"""

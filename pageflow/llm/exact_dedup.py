@@ -1,12 +1,16 @@
 """Exact duplicates by recipes of content-defined chunks, in DataFrame functions only.
 
 A text is normalised (every run of ASCII white space becomes one space) and cut where its own content says so: after at
-least ``MIN_CHUNK`` characters, at the first word that ends in a common letter pair, or at ``MAX_CHUNK`` characters. A
-chunk gets a 128-bit identifier. The chunk texts are moved once, deduplicated before the shuffle, to verify that every
-identifier stands for one text only. From then on only the ordered lists of identifiers, the recipes, are compared.
-
-Nulls count as empty. Empty texts are equal to one another. Rows that share the smallest doc_id of a group tie: one of
-them, the first in the order read, stays. A null doc_id stays only if its group has no other. Extra columns are ignored.
+least ``MIN_CHUNK`` characters, at the first place that looks like ``CUT`` (common word endings of several scripts, and
+full stops and commas of scripts without spaces), or at ``MAX_CHUNK`` characters. A chunk gets a 128-bit identifier. The
+chunk texts are moved once, deduplicated before the shuffle, to verify that every identifier stands for one text only.
+From then on only the ordered lists of identifiers, the recipes, are compared. Rows are known by their file and place, and
+dropped where they are read, so no whole text is ever moved.
+
+Nulls count as empty. Empty texts are equal to one another. Very long texts are cut as any other; a task holds one text
+and its chunks. Rows that share the smallest doc_id of a group tie: one of them, the first by file and place, stays. A null
+doc_id stays only if its group has no other. Extra columns are ignored, and kept by ``drop_exact_duplicates`` whatever
+their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, spread_left_join, written
+from .common import from_files, hot_join, numbered, row_maps, split_by_rows, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: Where a chunk may end: a space after one of these letter pairs.
-CUT = "(?:[aeiou][nrst] )"
+#: Where a chunk may end. A vowel, a frequent consonant and a space, or a stop or comma of a script without spaces.
+CUT = "(?:[aeiouаеиоуαειουاوي][nrstнрстνρστنرلم] |[。、，！？])"
 
 
 def normalised(text: Column) -> Column:
@@ -30,10 +34,10 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(f"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{CUT}|.{{1,{MAX_CHUNK}}}"), F.lit(0))
 
 
-def recipes(docs: DataFrame, chunk_id=F.md5) -> DataFrame:
-    """row, doc_id, recipe (the identifiers, of equal length, one after the other) and the text's digest."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normalised(F.col("text")).alias("norm")).select(
-        "row", "doc_id", F.array_join(F.transform(chunks(F.col("norm")), chunk_id), "").alias("recipe"), F.sha2(F.col("norm"), 256).alias("text_sha256")
+def recipes(rows: DataFrame, chunk_id=F.md5) -> DataFrame:
+    """_file, _at, doc_id, recipe (the identifiers, of equal length, one after the other) and the text's digest."""
+    return rows.select("_file", "_at", "doc_id", normalised(F.col("text")).alias("norm")).select(
+        "_file", "_at", "doc_id", F.array_join(F.transform(chunks(F.col("norm")), chunk_id), "").alias("recipe"), F.sha2(F.col("norm"), 256).alias("text_sha256")
     )
 
 
@@ -45,30 +49,31 @@ def clashes(docs: DataFrame) -> int:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: row, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of ``docs``: _file, _at, doc_id, keep_id, group_size, kept, text_sha256.
 
     Should an identifier fail its verification, the recipes are made of the chunks' lengths and texts instead.
     """
-    verified = clashes(docs) == 0
-    made = written(recipes(docs) if verified else recipes(docs, lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)), "recipes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    groups = made.groupBy("recipe").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1")
-    joined = spread_left_join(made, groups, "recipe", "row")
+    rows = numbered(from_files(docs), "doc_id", "text")
+    verified = clashes(rows) == 0
+    made = written(recipes(rows) if verified else recipes(rows, lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)), "recipes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_at")).alias("first")
+    groups = written(made.groupBy("recipe").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1"), "recipe-groups")
+    joined = hot_join(made, groups, "recipe")
     return joined.select(
-        "row",
+        "_file",
+        "_at",
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("kept"),
+        F.coalesce((F.col("_file") == F.col("first._file")) & (F.col("_at") == F.col("first._at")), F.lit(True)).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` must be read from files (row order is used)."""
-    tagged = docs.withColumn("_row", F.monotonically_increasing_id())
-    dropped = written(exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped")
-    return tagged.join(sized(dropped), "_row", "left_anti").drop("_row")
+    """The rows of ``docs`` that stay, with all their columns."""
+    docs = from_files(docs)
+    return split_by_rows(docs, row_maps(exact_duplicates(docs).where(~F.col("kept"))), inside=False)
 
 
 ORACLE = r"""

@@ -3,7 +3,7 @@
 A document's set is that of its distinct word shingles. Equal sets (by a 128-bit digest and their size) are one class
 from the start. Min-hash bands gather the classes that can be similar at all into families, by connected components of
 stars around each band value; the bands are so many that a pair at the threshold is missed with a probability below
-1e-7. (A point of group counts alone can't be placed: the differences a linked pair may have exceed the spread of single
+1e-7, and so long that texts of a similarity of a half rarely meet. (A point of group counts alone can't be placed: the differences a linked pair may have exceed the spread of single
 coordinates, so an R-tree over all rows would visit nearly every pair.) Within a family, or a pair of parts of a large
 one, shingles are hashed into groups; the group counts are points of an R-tree packed by recursive sorting; the sum of
 the coordinate-wise minima of a point and a node's upper corner bounds the overlap; surviving pairs are verified by the
@@ -11,8 +11,11 @@ exact intersection of their sets. A pair that is connected already is not verifi
 near copies costs a number of verifications in proportion to its size. Verified links are put together to components.
 
 Null or word-less texts have an empty set, link with nothing and are their own component. Rows that repeat are of one
-class. A null doc_id takes part; a component's id is its smallest doc_id (null if it has only null ones). Extra columns
-are ignored. ``docs`` must be read from files: it is scanned twice, and row numbers must agree (this is verified).
+class. A null doc_id takes part; a component's id is its smallest doc_id (null if it has only null ones); rows that share
+it tie, and the first by number stays. Very long texts are one set each; a task holds it. Extra columns are ignored, and
+kept by ``keep_one_of_each`` whatever their names. An empty table gives an empty table. Texts are scanned twice and rows
+are known by file and place, so they agree however many executors there are (sets are verified by their digests all the
+same); texts stay where they are read, only the sets of a family's members move.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, sized, spread_left_join, written
+from .common import drop_written, from_files, hot_join, numbered, row_maps, sized, split_by_rows, written
 from .components import connected
 from .textvec import WORD_SPACE, buffers, mix, shingles, slices, word_hashes
 
@@ -33,9 +36,10 @@ GROUPS, LEAF, FANOUT = 64, 16, 16
 
 
 def bands_for(percent: int) -> tuple[int, int]:
-    """Rows a band and bands, so that a pair at the threshold is missed with a probability below 1e-7."""
+    """Rows a band and bands, so that a pair at the threshold is missed with a probability below 1e-7. Long bands keep
+    families apart: at 0.85, two sets of similarity 0.5 meet with a probability of 0.18, of 0.3 with one of 0.003."""
     s = percent / 100
-    rows = 5 if s >= 0.85 else 4 if s >= 0.7 else 3 if s >= 0.5 else 2 if s >= 0.3 else 1
+    rows = 8 if s >= 0.85 else 6 if s >= 0.8 else 4 if s >= 0.7 else 3 if s >= 0.5 else 2 if s >= 0.3 else 1
     return rows, max(1, math.ceil(math.log(1e-7) / math.log(1 - s**rows)))
 
 
@@ -52,7 +56,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, doc_id, n, h1, h2 and the band values (as little-endian int64) of every row."""
+    """_file, _at, row (a number of its own), doc_id, n, h1, h2 and the band values (as little-endian int64) of every row."""
     rows, bands = bands_for(percent)
     rng = np.random.default_rng(99)
     a = (rng.integers(0, 2**31, rows * bands, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -81,6 +85,8 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         values[t] = s.tobytes()
                 digests = [set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_pydict({
+                    "_file": batch.column("_file").slice(i, j - i),
+                    "_at": batch.column("_at").slice(i, j - i),
                     "row": batch.column("row").slice(i, j - i),
                     "doc_id": batch.column("doc_id").slice(i, j - i).cast(pa.int64()),
                     "n": pa.array(size, pa.int64()),
@@ -89,7 +95,9 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     "bands": pa.array(values, pa.binary()),
                 })
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, h1 long, h2 long, bands binary")
+    # The number is fixed once this is written; only file and place are asked of the texts again.
+    texts = numbered(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return texts.mapInArrow(run, "_file long, _at long, row long, doc_id long, n long, h1 long, h2 long, bands binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -227,55 +235,63 @@ def _verified(parts: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The members with their sets, from a second scan of the texts."""
+    """The members with their sets, from a second scan of the texts that computes them where the texts are."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            digests = list(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True))
             for i, j in slices(offsets):
                 sets = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                if [set_digest(s) for s in sets] != digests[i:j]:
-                    raise ValueError("the documents changed between two scans")
-                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(i, j - i) for c in ("family", "parts", "node")} | {"set": pa.array([s.tobytes() for s in sets], pa.binary())})
+                digests = [set_digest(s) for s in sets]
+                yield pa.RecordBatch.from_pydict({
+                    "_file": batch.column("_file").slice(i, j - i),
+                    "_at": batch.column("_at").slice(i, j - i),
+                    "_h1": pa.array([d[0] for d in digests], pa.int64()),
+                    "_h2": pa.array([d[1] for d in digests], pa.int64()),
+                    "set": pa.array([s.tobytes() for s in sets], pa.binary()),
+                })
 
-    rows = docs.select(F.monotonically_increasing_id().alias("node"), "text")
-    own = rows.join(sized(members), "node")
-    return own.select("family", "parts", "node", "h1", "h2", "text").mapInArrow(run, "family long, parts int, node long, set binary")
+    own = split_by_rows(docs.select("text"), row_maps(members), True, "_file", "_at", "text")
+    made = own.mapInArrow(run, "_file long, _at long, _h1 long, _h2 long, set binary").join(sized(members), ["_file", "_at"])
+    same = (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2"))
+    return made.select("family", "parts", "node", F.when(same, F.col("set")).otherwise(F.raise_error(F.lit("the documents changed between two scans")).cast("binary")).alias("set"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """row, doc_id, n_shingles, component_id, kept (one row of each component: that of the smallest doc_id)."""
+    """_file, _at, doc_id, n_shingles, component_id, kept (one row of each component: that of the smallest doc_id)."""
+    docs = from_files(docs)
     made = written(signatures(docs, k, percent), "signatures")
+    first = F.min(F.struct("row", "_file", "_at", "bands")).alias("first")
     classes = written(
-        made.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("row", "bands")).alias("first")).select(F.col("first.row").alias("node"), "h1", "h2", "n", F.col("first.bands").alias("bands")),
+        made.where("n > 0").groupBy("h1", "h2", "n").agg(first).select(F.col("first.row").alias("node"), "first._file", "first._at", "h1", "h2", "n", F.col("first.bands").alias("bands")),
         "classes",
     )
     bands = band_rows(classes)
     centres = bands.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     near = connected(bands.join(centres, "band").select(F.col("node").alias("u"), "v").where("u <> v"), "families")
     of_family = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct()).withColumnsRenamed({"u": "node", "root": "family"})
-    members = classes.select("node", "h1", "h2", "n").join(of_family, "node")
+    members = classes.select("node", "_file", "_at", "h1", "h2", "n").join(of_family, "node")
     parts = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(PART_SHINGLES)).cast("int").alias("parts"))
-    members = written(members.join(parts, "family").select("node", "family", "parts", "h1", "h2"), "family-members")
+    members = written(members.join(parts, "family").select("node", "_file", "_at", "family", "parts", "h1", "h2"), "family-members")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = _sets(docs, members, k).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "set")
     links = connected(_verified(dealt, percent), "links")
     drop_written(members)
     rooted = classes.select("node", "h1", "h2", "n").join(links, F.col("node") == F.col("u"), "left").select("h1", "h2", "n", F.coalesce("root", "node").alias("component"))
-    placed = written(made.drop("bands").join(rooted, ["h1", "h2", "n"], "left").select("row", "doc_id", "n", F.coalesce("component", "row").alias("component")), "placed")
+    placed = written(made.drop("bands").join(rooted, ["h1", "h2", "n"], "left").select("_file", "_at", "row", "doc_id", "n", F.coalesce("component", "row").alias("component")), "placed")
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     drop_written(made)
-    return spread_left_join(placed, first, "component", "row").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"))
+    joined = hot_join(placed, written(first, "component-groups"), "component")
+    return joined.select("_file", "_at", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when every component keeps one, with all their columns."""
-    dropped = written(jaccard_components(docs, k, percent).where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(sized(dropped), "_row", "left_anti").drop("_row")
+    docs = from_files(docs)
+    return split_by_rows(docs, row_maps(jaccard_components(docs, k, percent).where(~F.col("kept"))), inside=False)
 
 
 ORACLE = r"""

@@ -6,19 +6,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, written
+
+
+#: Bytes of the longest text that a model learns from (all are scored), and of the texts that it learns from together.
+MAX_TEXT, MAX_BYTES = 256 << 10, 48 << 20
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """text, y (0 or 1) and weight (how many rows of its class a row stands for) of at most about ``most`` labelled training documents of each class, picked by a hash of their
-    ids; so bounded, the picked ids are broadcast and no text is moved. Labels that are null or given twice for a document with different values are left out."""
+    """doc_id, text, y (0 or 1) and weight (how many labelled rows of its class a row stands for) of at most about ``most``
+    labelled training documents of each class, and at most about ``MAX_BYTES`` of text, picked by a hash of their ids.
+    Texts above ``MAX_TEXT`` bytes are not learnt from. The picked ids, so bounded, are broadcast, and no text is moved.
+    Labels that are null or given twice for a document with different values are left out. Written."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y").drop("_y")
     marks = marks.where(~held_out())
     counts = {r[0]: r[1] for r in marks.groupBy("y").count().collect()}  # two rows
     rate = F.when(F.col("y") == 1, F.lit(most / max(counts.get(1, 0), 1))).otherwise(F.lit(most / max(counts.get(0, 0), 1)))
-    picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"), F.greatest(F.lit(1.0), 1 / rate).alias("weight"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    picked = marks.where(place < rate)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TEXT)
+    made = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"), F.greatest(F.lit(1.0), 1 / rate).alias("weight"))
+    sample = written(made, "labelled-sample")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= MAX_BYTES:
+        return sample
+    share = MAX_BYTES / size
+    return sample.where(place < F.least(F.lit(1.0), 1 / F.col("weight")) * share).withColumn("weight", F.col("weight") / share)
 
 
 def fit_logistic(start: np.ndarray, index: np.ndarray, value: np.ndarray, n_features: int, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:

@@ -5,8 +5,10 @@ pairs and triples, and from how varied they are, by a learned layer; a gated att
 document; the weighted sum of the encodings is scored by a logistic unit. All layers are learned together from document
 labels alone, by mini-batch gradient steps on at most about ``MAX_PER_CLASS`` labelled documents a class.
 
-A null or empty text is one empty passage. Rows that repeat are scored each; extra columns are ignored. Without training
-rows of both classes every score is the share of good labels seen (1 for none).
+A null or empty text is one empty passage. Very long texts are encoded whole, a piece at a time, and pooled over all their
+passages. Rows that repeat are scored each, equal texts alike; extra columns are ignored by ``quality`` and kept by
+``keep_good``. An empty table gives an empty table. Without training rows of both classes every score is the share of good
+labels seen (1 for none).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .labelled import training_sample
-from .textvec import buffers, slices
+from .textvec import SLICE_BYTES, buffers, slices
 
 MAX_PER_CLASS = 2500
 PASSAGE = 512
@@ -91,6 +93,22 @@ class Net:
         z = np.add.reduceat(att[:, None] * h, first, axis=0)
         return h, t, s, att, z, _sigmoid(z @ p["c"] + p["d"][0])
 
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Scores of texts; of a text longer than a slice only encodings and attention are held, not its features."""
+        p = self.p
+        if len(offsets) != 2 or len(data) <= SLICE_BYTES:
+            return self.forward(*passages(data, offsets))[-1].astype(np.float64)
+        hs, es = [], []
+        for a in range(0, len(data), SLICE_BYTES):  # a multiple of PASSAGE, and no feature crosses passages
+            own = data[a : a + SLICE_BYTES]
+            x, _ = passages(own, np.array([0, len(own)]))
+            h = np.tanh(x @ p["w"] + p["b"])
+            hs.append(h)
+            es.append((np.tanh(h @ p["v"]) * _sigmoid(h @ p["u"])) @ p["a"])
+        e = np.concatenate(es)
+        e = np.exp(e - e.max())
+        return np.array([_sigmoid((e / e.sum()) @ np.concatenate(hs) @ p["c"] + p["d"][0])], np.float64)
+
     def gradient(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, first = self.p, np.cumsum(n) - n
         h, t, s, att, z, score = self.forward(x, n)
@@ -164,7 +182,7 @@ def score(docs: DataFrame, net: Net | float) -> DataFrame:
                 if isinstance(own, float):
                     p = np.full(j - i, own)
                 else:
-                    p = own.forward(*passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[-1].astype(np.float64)
+                    p = own.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(i, j - i).cast(pa.int64()),
                     "held_out": batch.column("held_out").slice(i, j - i),
@@ -192,7 +210,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             data, offsets = buffers(batch.column("text"))
             good = []
             for i, j in slices(offsets):
-                p = np.full(j - i, own) if isinstance(own, float) else own.forward(*passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[-1]
+                p = np.full(j - i, own) if isinstance(own, float) else own.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 good += (p >= THRESHOLD).tolist()
             yield batch.filter(pa.array(good, pa.bool_()))
 

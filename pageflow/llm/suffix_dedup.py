@@ -6,19 +6,21 @@ another, is removed; places are judged on the input.
 1. Every ``LENGTH``-byte window has an anchor: its ``SEED``-byte piece of smallest hash, the first of equals. Equal
    windows have equal anchors at equal offsets, so they meet under their anchor's fingerprint. Neighbouring windows share
    an anchor; such a run of windows is one stretch of text.
-2. A first scan counts the runs under each fingerprint; those of two or more are marked in a bit map of bounded size (a
-   false mark costs time only). A second scan writes the stretches of marked anchors. Equal stretches are one from here
+2. A first scan counts the runs under each fingerprint; those of two or more are marked in a bit map of bounded size, put
+   together from blocks that the executors make (a false mark costs time only). A second scan writes the stretches of
+   marked anchors. Equal stretches are one from here
    on, and all their windows repeat.
 3. Distinct stretches are dealt by fingerprint. A task takes them in batches; each batch gets the suffix array of its
    window starts, sorted by a fingerprint of the next ``LENGTH`` bytes (any order serves in which equal windows are
    neighbours), is merge-scanned against the existing levels, and is put in as a new level; levels of equal size merge,
    so there are logarithmically many. Fingerprints under which too many distinct stretches meet are not given to one
    task: their windows are dealt singly.
-4. The repeated windows go back to all places of their stretch, and from there to the texts.
+4. The repeated windows go back to all places of their stretch, and from there to the texts. Rows are known by file and
+   place, the same at every scan; a row map tells which texts lose something, and only those move to meet their spans.
 
-Nulls count as empty. Texts shorter than ``LENGTH`` lose nothing. Repeated rows lose all (if long enough), as each
-starts in the other too. Extra columns are ignored. ``docs`` must be read from files: row numbers of three scans must
-agree. Fingerprints of windows have 128 bits.
+Nulls count as empty. Texts shorter than ``LENGTH`` lose nothing. Texts of any length are taken in pieces that overlap by
+``LENGTH - 1`` bytes, so the arrays of a task have a bound. Repeated rows lose all (if long enough), as each starts in the
+other too. Extra columns are ignored; an empty table gives an empty table. Fingerprints of windows have 128 bits.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
-from .textvec import _CODES, _RNG, buffers, mix, powers, prefix_hash, slices
+from .common import HOT_SHARE, drop_written, from_files, numbered, row_maps, split_by_rows, written
+from .textvec import _CODES, _RNG, SLICE_BYTES, buffers, mix, powers, prefix_hash, slices
 
 LENGTH, SEED = 200, 32
 #: Distinct stretches under one fingerprint beyond which their windows are dealt singly.
@@ -39,8 +41,6 @@ HOT = 4000
 TASK_BYTES = 6 << 20
 #: Bits of the map for each marked fingerprint, and the most bits of a map (128 MB).
 BITS_EACH, MAX_BITS = 16, 30
-#: Bytes of removed spans (16 a span, and 50 a row) up to which they are broadcast to the last scan.
-MAX_BROADCAST_BYTES = 16 << 20
 _AT = np.uint64((1 << 28) - 1)
 _CODES2 = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -56,9 +56,7 @@ def _window_hash(data: np.ndarray, width: int, codes: np.ndarray = _CODES) -> np
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start and the anchor's fingerprint of all runs, in order."""
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH or len(data) > int(_AT):
-        if len(data) > int(_AT):
-            raise ValueError("a text of more than 256 MB")
+    if len(data) < LENGTH:
         return none, none, none.astype(np.uint64)
     h = _window_hash(data, SEED)
     span = LENGTH - SEED + 1
@@ -87,8 +85,17 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, last, h[anchor[first].astype(np.int64)]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "text")
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES):
+    """(first row, bytes, offsets, place in the row) of whole rows of at most ``limit`` bytes together, or of pieces of one
+    longer row, every window of which is in one of them."""
+    for i, j in slices(offsets, limit):
+        start, end = int(offsets[i]), int(offsets[j])
+        if end - start <= limit:
+            yield i, data[start:end], offsets[i : j + 1] - start, 0
+            continue
+        for a in range(start, end - LENGTH + 1, limit):
+            own = data[a : min(a + limit + LENGTH - 1, end)]
+            yield i, own, np.array([0, len(own)]), a - start
 
 
 def _anchor_counts(docs: DataFrame) -> DataFrame:
@@ -96,34 +103,36 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            for i, j in slices(offsets):
-                fp = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2]
-                yield pa.RecordBatch.from_pydict({"fp": pa.array(fp.view(np.int64), pa.int64())})
+            for _, own, at, _ in pieces(*buffers(batch.column("text"))):
+                yield pa.RecordBatch.from_pydict({"fp": pa.array(runs(own, at)[2].view(np.int64), pa.int64())})
 
     return docs.select("text").mapInArrow(run, "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
 
 
 def _bit_map(fps: DataFrame) -> np.ndarray:
-    """Bit map of the fingerprints, mixed anew (anchors are smallest hashes, so their leading bits are alike); the driver
-    holds it and one task's places at a time."""
+    """Bit map of the fingerprints, mixed anew (anchors are smallest hashes, so their leading bits are alike). The executors
+    make its blocks; the driver gets those, 2**MAX_BITS bits at most, and no fingerprint."""
     bits = min(MAX_BITS, max(16, (fps.count() * BITS_EACH).bit_length()))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            at = np.unique(mix(b.column("fp").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"at": pa.array([at.tobytes()], pa.binary())})
-
-    out = np.zeros(1 << bits, bool)
-    for row in fps.mapInArrow(run, "at binary").toLocalIterator():
-        out[np.frombuffer(row["at"], np.uint32)] = True
-    return np.packbits(out)
+            at = np.unique(mix(b.column("fp").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64())})
+
+    place = F.col("at") + 1
+    blocks = fps.mapInArrow(run, "at long").groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in blocks.toLocalIterator():
+        own = np.frombuffer(bytes(row["bits"]), np.uint8)
+        first = (row["block"] - 1) * len(own)
+        out[first : first + len(own)] = own[: len(out) - first]
+    return out
 
 
 def _stretches(docs: DataFrame, marks) -> DataFrame:
-    """fp, the stretch of text, row and the place in the row, of every run with a marked anchor."""
+    """fp, the stretch of text, its row and the place in the row, of every run with a marked anchor."""
 
     def run(batches):
         import pyarrow as pa
@@ -131,22 +140,20 @@ def _stretches(docs: DataFrame, marks) -> DataFrame:
         packed = marks.value
         shift = np.uint64(64 - (len(packed) * 8).bit_length() + 1)
         for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            rows = batch.column("row").to_numpy()
-            for i, j in slices(offsets):
-                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            file, place = (batch.column(c).to_numpy() for c in ("_file", "_at"))
+            for i, own, at, begin in pieces(*buffers(batch.column("text"))):
                 first, last, fp = runs(own, at)
                 bit = (mix(fp) >> shift).astype(np.int64)
-                keep = (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+                keep = (packed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                 first, last, fp = first[keep], last[keep], fp[keep]
                 size = last - first + LENGTH
                 ends = np.concatenate(([0], np.cumsum(size)))
                 text = own[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
                 doc = np.searchsorted(at, first, side="right") - 1
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_pydict({"fp": pa.array(fp.view(np.int64), pa.int64()), "stretch": column, "row": pa.array(rows[i:j][doc], pa.int64()), "at": pa.array(first - at[doc], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"fp": pa.array(fp.view(np.int64), pa.int64()), "stretch": column, "_file": pa.array(file[i + doc], pa.int64()), "_at": pa.array(place[i + doc], pa.int64()), "at": pa.array(begin + first - at[doc], pa.int64())})
 
-    made = _rows(docs).mapInArrow(run, "fp long, stretch binary, row long, at long")
+    made = numbered(docs, "text").mapInArrow(run, "fp long, stretch binary, _file long, _at long, at long")
     return made.withColumn("x", F.xxhash64("stretch"))
 
 
@@ -269,7 +276,8 @@ def _hot_repeats(distinct: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """row, spans: what is removed of each row that loses anything, as sorted (first, end) int64 pairs of bytes."""
+    """_file, _at, spans: what is removed of each row that loses anything, as sorted (first, end) int64 pairs of bytes that
+    neither overlap nor touch. ``docs``: :func:`from_files`."""
     spark = docs.sparkSession
     fps = written(_anchor_counts(docs), "anchors")
     marks = spark.sparkContext.broadcast(_bit_map(fps))
@@ -282,7 +290,12 @@ def removals(docs: DataFrame) -> DataFrame:
     total = distinct.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
     found = _repeats(distinct.join(hot, "fp", "left_anti"), max(1, int(-(-total // TASK_BYTES)))).unionByName(_hot_repeats(distinct.join(hot, "fp", "left_semi")))
     found = written(found, "repeats")
-    placed = runs_.select("fp", "x", "row", "at").join(found, ["fp", "x"]).select("row", "at", "pairs")
+    # A passage that very many rows have is met by broadcast, all others by a shuffle.
+    many = runs_.groupBy("fp", "x").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > runs_.count() * HOT_SHARE)
+    popular = F.broadcast(written(found.join(F.broadcast(many.drop("size")), ["fp", "x"]), "popular-repeats"))
+    at = runs_.select("fp", "x", "_file", "_at", "at")
+    keys = popular.select("fp", "x")
+    placed = at.join(popular, ["fp", "x"]).unionByName(at.join(keys, ["fp", "x"], "left_anti").join(found, ["fp", "x"])).select("_file", "_at", "at", "pairs")
 
     def shift(batches):
         import pyarrow as pa
@@ -291,9 +304,9 @@ def removals(docs: DataFrame) -> DataFrame:
             data, offsets = buffers(b.column("pairs"))
             pairs = data.view("<i4").astype(np.int64) + np.repeat(b.column("at").to_numpy(), np.diff(offsets) // 4)
             ends = (offsets * 2).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "pairs": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())]).cast(pa.binary())})
+            yield pa.RecordBatch.from_pydict({"_file": b.column("_file"), "_at": b.column("_at"), "pairs": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())]).cast(pa.binary())})
 
-    moved = placed.mapInArrow(shift, "row long, pairs binary")
+    moved = placed.mapInArrow(shift, "_file long, _at long, pairs binary")
 
     def merge(batches):
         import pyarrow as pa
@@ -307,10 +320,10 @@ def removals(docs: DataFrame) -> DataFrame:
                 new = np.concatenate(([True], p[1:, 0] > end[:-1]))
                 last = np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)
                 spans.append(np.stack((p[new, 0], end[last]), 1).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "spans": pa.array(spans, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"_file": b.column("_file"), "_at": b.column("_at"), "spans": pa.array(spans, pa.binary())})
 
     # The pieces of one text meet: no more of them than the text has bytes.
-    out = written(moved.groupBy("row").agg(F.collect_list("pairs").alias("pairs")).mapInArrow(merge, "row long, spans binary"), "removals")
+    out = written(moved.groupBy("_file", "_at").agg(F.collect_list("pairs").alias("pairs")).mapInArrow(merge, "_file long, _at long, spans binary"), "removals")
     for x in (runs_, distinct, hot, found):
         drop_written(x)
     return out
@@ -318,44 +331,41 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes as text) of every row."""
+    docs = from_files(docs.select("doc_id", "text"))
     gone = removals(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    bytes_ = gone.agg(F.sum(F.octet_length("spans") + 50)).first()[0] or 0
-    side = F.broadcast(gone) if bytes_ <= MAX_BROADCAST_BYTES else gone
-    joined = rows.join(side, "row", "left").select("doc_id", "text", "spans")
+    maps = row_maps(gone)
+    whole = split_by_rows(docs, maps, False).withColumn("spans", F.lit(None).cast("binary"))
+    cut_ = split_by_rows(docs, maps, True, "doc_id", "text", "_file", "_at").join(gone, ["_file", "_at"], "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            lists = batch.column("spans").to_pylist()
+            ids, lists, bounds = batch.column("doc_id").cast(pa.int64()), batch.column("spans").to_pylist(), offsets.tolist()
             for i, j in slices(offsets):
-                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                edge = np.zeros(len(own) + 1, np.int64)
+                kept, removed, n_spans = [], [], []
                 for t in range(i, j):
-                    if lists[t]:
-                        p = np.frombuffer(lists[t], "<i8").reshape(-1, 2) + at[t - i]
-                        if p[-1, 1] > at[t - i + 1]:
-                            raise ValueError("the documents changed between two scans")
-                        np.add.at(edge, p[:, 0], 1)
-                        np.subtract.at(edge, p[:, 1], 1)
-                bad = np.cumsum(edge[:-1]) > 0
-                start = bad.copy()
-                start[1:] &= ~bad[:-1]
-                inner = at[:-1][at[:-1] < len(own)]
-                start[inner] = bad[inner]
-                sums, spans = np.concatenate(([0], np.cumsum(bad))), np.concatenate(([0], np.cumsum(start)))
-                kept = [own[a:b][~bad[a:b]].tobytes() if sums[b] > sums[a] else own[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    own = data[bounds[t] : bounds[t + 1]]
+                    p = np.frombuffer(lists[t] or b"", "<i8").reshape(-1, 2)
+                    if len(p) and p[-1, 1] > len(own):
+                        raise ValueError("the documents changed between two scans")
+                    if len(p):
+                        edges = np.concatenate(([0], p.ravel(), [len(own)])).tolist()
+                        kept.append(b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                    else:
+                        kept.append(own.tobytes())
+                    removed.append(int((p[:, 1] - p[:, 0]).sum()))
+                    n_spans.append(len(p))
                 out = {
-                    "doc_id": batch.column("doc_id").slice(i, j - i).cast(pa.int64()),
-                    "n_bytes": pa.array(np.diff(at), pa.int64()),
-                    "n_removed": pa.array(sums[at[1:]] - sums[at[:-1]], pa.int64()),
-                    "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]], pa.int64()),
+                    "doc_id": ids.slice(i, j - i),
+                    "n_bytes": pa.array(np.diff(offsets[i : j + 1]), pa.int64()),
+                    "n_removed": pa.array(removed, pa.int64()),
+                    "n_spans": pa.array(n_spans, pa.int64()),
                     "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
                 }
                 if with_text:
                     out["text"] = pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else ""))
+    return whole.unionByName(cut_).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else ""))

@@ -5,9 +5,11 @@ n-grams of ``ORDERS`` bytes that it has anywhere. From labelled training texts c
 document counts in toxic and other texts; the features with the largest evidence stay, x is scaled by r, and a logistic
 regression on x * r gives the weights. A text's score is the logistic function of the sum of its features' weights.
 
-The fit reads at most about ``MAX_PER_CLASS`` labelled documents a class. Nulls and empty texts have no feature and so
-the score of the intercept. Rows that repeat are scored each; extra columns are ignored. Without training rows of both
-classes every score is the share of toxic labels seen (0 for none).
+The fit reads at most about ``MAX_PER_CLASS`` labelled documents a class (``labelled`` bounds their bytes too), each with
+the weight of the labelled rows it stands for. Features of equal evidence are taken by number. Nulls and empty texts have
+no feature and so the score of the intercept. Very long texts are scored whole, alone in memory. Rows that repeat are
+scored each; extra columns are ignored. An empty table gives an empty table. Without training rows of both classes every
+score is the share of toxic labels seen (0 for none).
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, held_out, written
+from .common import held_out
 from .labelled import fit_logistic, training_sample
 from .langid import padded
 from .textvec import buffers, mix, prefix_hash, powers, slices
@@ -114,12 +116,13 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    sample = written(training_sample(docs, labels, label, MAX_PER_CLASS), "toxicity-sample")
-    size = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
-    n = np.array([size.get(0, 0), size.get(1, 0)], float)
+    sample = training_sample(docs, labels, label, MAX_PER_CLASS)
+    size = {r[0]: (r[1], r[2]) for r in sample.groupBy("y").agg(F.count(F.lit(1)), F.sum("weight")).collect()}  # two rows
+    n = np.array([size.get(k, (0, 0))[0] for k in (0, 1)], float)
+    full = np.array([size.get(k, (0, 0))[1] for k in (0, 1)], float)  # the labelled rows that the sample stands for
     weight = np.zeros(1 << BUCKET_BITS, np.float32)
     if not n.all():
-        share = np.clip(n[1] / max(n.sum(), 1), 1e-6, 1 - 1e-6)
+        share = np.clip(full[1] / max(full.sum(), 1), 1e-6, 1 - 1e-6)
         return Model(weight, float(np.log(share / (1 - share))))
     counts = _counts(sample)
     smoothed = (counts + 0.5) / (n + 1)
@@ -138,10 +141,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         y.append(row["y"])
         index.append(x)
         start.append(start[-1] + len(x))
-    drop_written(sample)
     y, index = np.array(y), np.concatenate(index)
-    balance = np.where(y > 0, np.sqrt(n[0] / n[1]), 1.0)
-    w = fit_logistic(np.array(start), index, ratio[chosen][index], len(chosen), y, balance, L2)
+    # A row counts for the labelled rows that it stands for, so the odds that the fit sees don't depend on the sample.
+    stands_for = np.where(y > 0, full[1] / n[1], full[0] / n[0])
+    weight_of = np.where(y > 0, np.sqrt(full[0] / full[1]), 1.0) * stands_for
+    w = fit_logistic(np.array(start), index, ratio[chosen][index], len(chosen), y, weight_of * len(y) / full.sum(), L2)
     weight[chosen] = w[:-1] * ratio[chosen]
     return Model(weight, float(w[-1]))
 
