@@ -335,7 +335,8 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     gone = removals(docs)
     maps = row_maps(gone)
     whole = split_by_rows(docs, maps, False).withColumn("spans", F.lit(None).cast("binary"))
-    cut_ = split_by_rows(docs, maps, True, "doc_id", "text", "_file", "_at").join(gone, ["_file", "_at"], "left").select("doc_id", "text", "spans")
+    # Merged at every size: a plan that broadcasts small spans says nothing about large ones.
+    cut_ = split_by_rows(docs, maps, True, "doc_id", "text", "_file", "_at").join(gone.hint("merge"), ["_file", "_at"], "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         import pyarrow as pa
