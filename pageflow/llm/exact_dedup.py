@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import from_files, hot_join, numbered, row_maps, split_by_rows, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: Where a chunk may end. A vowel, a frequent consonant and a space, or a stop or comma of a script without spaces.
-CUT = "(?:[aeiouаеиоуαειουاوي][nrstнрстνρστنرلم] |[。、，！？])"
+#: Where a chunk may end. A vowel, a frequent consonant and a space; in other scripts the end of a word, or a
+#: stop or comma where words aren't spaced. ASCII characters leave the second form at once.
+CUT = "(?:[aeiou][nrst] |[^ -~](?:[^ -~] |[。、，！？]))"
 
 
 def normalised(text: Column) -> Column:
