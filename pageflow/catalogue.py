@@ -541,6 +541,29 @@ def beam_decode(spark, d):
     return out.select("page", F.array_join("seq", "").alias("text"), F.round("score", 6).alias("score"))
 
 
+def _decode_texts(spark, d) -> DataFrame:
+    char = text.code_point_char(F.concat(F.lit("U+"), F.hex(12354 + F.col("part") % 20)))
+    return boxes(spark, d).select("page", "idx", char.alias("c")).groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "c"))), lambda s: s["c"]), "").alias("text"))
+
+
+@query()
+def beam_decode_backoff(spark, d):
+    """Order 3 with back-off, from the begin state on, estimated from the pages' own characters."""
+    out = decode.beam_search_backoff(_decode_items(spark, d), lm.backoff_table(_decode_texts(spark, d)))
+    return out.select("page", F.array_join("seq", "").alias("text"), F.round("score", 6).alias("score"))
+
+
+@query()
+def masked_rerank_text(spark, d):
+    """One pass over greedy readings with a stand-in for a masked model that looks at the whole page: how often the
+    candidate stands in its text."""
+    import math
+
+    load = lambda: lambda page, at, char: math.log(page.count(char) / len(page))
+    out = decode.masked_rerank_text(decode.greedy(_decode_items(spark, d)), load)
+    return out.select("page", "pos", "final", F.round("score", 6).alias("score"))
+
+
 @query()
 def masked_rerank(spark, d):
     """One pass over greedy readings, scored by how common the pair with the left neighbour is."""

@@ -45,11 +45,13 @@ def _by_page():
 
 def evaluate(boxes: DataFrame, truth: DataFrame, bigrams: DataFrame, masked_scorer: Callable[[DataFrame], DataFrame], settings: dict | None = None) -> DataFrame:
     """Boxes with candidates (page, idx, corners, candidates) and true characters (page, pos, gt) to one row a character:
-    page, pos, gt, greedy, lm, final, topk_chars. The page is the partition key throughout."""
+    page, pos, gt, greedy, lm, final, topk_chars. ``bigrams`` may be a back-off table of any order instead. The page is the
+    partition key throughout."""
     s = DEFAULTS | (settings or {})
     ordered = layout.reading_order(boxes)
     items = decode.greedy(evalstats.align(ordered, truth).withColumn("candidates", F.slice("candidates", 1, s["topk"])))
-    best = decode.beam_search(items, bigrams, s["lm_weight"], s["beam"]).select("page", F.posexplode("seq").alias("_i", "lm"))
+    search = decode.beam_search_backoff if "log10_backoff" in bigrams.columns else decode.beam_search
+    best = search(items, bigrams, s["lm_weight"], s["beam"]).select("page", F.posexplode("seq").alias("_i", "lm"))
     # The beam's sequence is in the order of positions, which may have gaps only if boxes do: join by rank.
     from pyspark.sql import Window
 

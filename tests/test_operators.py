@@ -403,3 +403,41 @@ def test_pixels_to_images(spark):
     rgb = pix(spark, [[1, 2], [3, 300]]).select("image", "y", "x", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(9).alias("b"))
     got = raster.packed_images(rgb).first()
     assert (got["height"], got["width"]) == (2, 2) and bytes(got["data"]) == bytes([9, 0, 1, 9, 0, 2, 9, 0, 3, 9, 0, 255])
+
+
+def test_backoff_search_against_all_sequences(spark):
+    """The beam is as wide as there are sequences, so the best of all of them must come out; scores by the back-off rule."""
+    import itertools
+
+    texts = spark.createDataFrame([("abcab",), ("bcaac",), ("abb",), ("cab",)], "text string")
+    table = lm.backoff_table(texts, 3)
+    p = {(*r["ctx"], r["token"]): r["log10_p"] for r in table.collect()}
+    b = {(*r["ctx"], r["token"]): r["log10_backoff"] for r in table.collect()}
+
+    def score(history, token):
+        context = tuple(history[-2:])
+        if (*context, token) in p:
+            return p[*context, token]
+        if not context:
+            return decode.FLOOR
+        return b.get(context, 0.0) + (score(context[1:], token) if len(context) > 1 else p.get((token,), decode.FLOOR))
+
+    r = random.Random(6)
+    steps = [[(c, -r.random()) for c in "abcx"] for _ in range(4)]
+    best = max((sum(q for _, q in seq) + 1.6 * sum(score((lm.BEGIN, *[c for c, _ in seq[:i]]), seq[i][0]) for i in range(4)), [c for c, _ in seq]) for seq in itertools.product(*steps))
+    items = spark.createDataFrame([("p", i, [tuple(x) for x in s]) for i, s in enumerate(steps)], "page string, pos int, candidates array<struct<char:string,logp:double>>")
+    got = decode.beam_search_backoff(items, table, 1.6, 256).first()
+    assert got["seq"] == best[1] and math.isclose(got["score"], best[0], abs_tol=1e-9)
+    with pytest.raises(ValueError):
+        lm.backoff_model(table, most=3)
+
+
+def test_reranking_on_whole_texts(spark):
+    data = [("p", 0, [("a", -0.1), ("b", -0.2), ("b", -0.05)], "a"), ("p", 1, [("c", -1.0), ("d", -1.0)], "c"), ("p", 2, [("e", 0.0)], "z")]
+    items = spark.createDataFrame(data, "page string, pos int, candidates array<struct<char:string,logp:double>>, greedy string")
+    got = decode.masked_rerank_text(items, lambda: lambda text, at, char: {"bcz": 1.0, "acz": 0.0, "adz": 0.0}.get(text, -9.0), weight=0.5).orderBy("pos").collect()
+    assert [(r["final"], r["score"]) for r in got] == [("b", 0.45), ("c", -1.0), ("z", -1e9)]
+    encode = lambda s: [ord(c) - 97 for c in s for _ in range(1 + (c == "b"))]
+    log_probs = lambda before, targets, after: [[-float(k + len(before) + 10 * len(after))] * 26 for k in range(len(targets))]
+    assert decode.multi_mask_score(encode, log_probs, "axc", 1, "b") == -(11 + 12)
+    assert decode.multi_mask_score(encode, log_probs, "axc", 3, "b") == decode.multi_mask_score(encode, log_probs, "axc", 0, "") == -1e9
