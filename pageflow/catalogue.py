@@ -906,3 +906,32 @@ def random_partners(spark, d):
 @query()
 def blob_masks(spark, d):
     return raster.blob_masks(pixels(spark, d), 12, 16)
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, y, x, round((0.00456621e0 * r + 0.00625893e0 * b) * 255 - 222.921e0, 9) AS red, round((0.00456621e0 * r - 0.00153632e0 * g - 0.00318811e0 * b) * 255 + 135.576e0, 9) AS green, round((0.00456621e0 * r + 0.00791071e0 * g) * 255 - 276.836e0, 9) AS blue FROM pix")
+def rgb_of_ycbcr(spark, d):
+    back = numbers.rgb_of_ycbcr(F.col("r"), F.col("g"), F.col("b"))
+    return pixels(spark, d).select("image", "y", "x", *[F.round(c, 9).alias(n) for n, c in zip(("red", "green", "blue"), back, strict=True)])
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, round(sum(abs(r - g) * b)::DOUBLE / nullif(sum(b), 0), 6) AS weighted, round(avg(abs(r - g)), 6) AS mean, sum(abs(r - g))::BIGINT AS total FROM pix GROUP BY image")
+def loss_reductions(spark, d):
+    loss = F.abs(F.col("r") - F.col("g"))
+    out = pixels(spark, d).groupBy("image").agg(numbers.reduced(loss, F.col("b")).alias("weighted"), numbers.reduced(loss).alias("mean"), numbers.reduced(loss, how="sum").alias("total"))
+    return _r(out, "weighted", "mean")
+
+
+@query(f"WITH {SIZES}, c AS (SELECT page, unnest(range(0, 704, 64)) AS x0 FROM sizes), r AS (SELECT page, x0, unnest(range(0, 704, 64)) AS y0 FROM c) SELECT page, printf('%d_%d.png', x0, y0) AS name, x0::INT AS x0, y0::INT AS y0, (x0 + 64)::INT AS x1, (y0 + 64)::INT AS y1 FROM r")
+def fixed_cut(spark, d):
+    return tiling.fixed_cut(page_sizes(spark, d))
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, sum((r > 128 OR g > 128)::INT)::BIGINT AS n FROM pix GROUP BY image")
+def mask_union(spark, d):
+    return pixels(spark, d).groupBy("image").agg(F.sum(raster.mask_union(F.col("r"), F.col("g"))).alias("n"))
+
+
+@query("SELECT doc_id, source || '.png' AS name FROM documents WHERE NOT contains(source, '3') AND NOT suffix(source || '.png', '1.png')")
+def underived_files(spark, d):
+    files = _table(spark, d, "documents").select("doc_id", F.concat("source", F.lit(".png")).alias("name"))
+    return datasets.without_derived(files, marks=["3"], endings=["1.png"])

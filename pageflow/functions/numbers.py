@@ -64,6 +64,31 @@ def ycbcr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return row(_Y, 16.0), row(_CB, 128.0), row(_CR, 128.0)
 
 
+# The way back, for colours of 0 to 255.
+_BACK = {"r": (0.00456621, 0.0, 0.00625893, -222.921), "g": (0.00456621, -0.00153632, -0.00318811, 135.576), "b": (0.00456621, 0.00791071, 0.0, -276.836)}
+
+
+def rgb_of_ycbcr(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+    return tuple((k[0] * y + k[1] * cb + k[2] * cr) * 255.0 + k[3] for k in _BACK.values())
+
+
+def as_byte(v: Column) -> Column:
+    """Rounded half to even, from 0 to 255."""
+    return F.least(F.greatest(F.bround(v), F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
+def reduced(loss: Column, weight: Column | None = None, how: str = "mean") -> Column:
+    """A loss of all elements: itself, its sum, or its mean; with weights, the mean is over the weights."""
+    own = loss if weight is None else loss * weight
+    if how == "none":
+        return own
+    if how == "sum":
+        return F.sum(own)
+    if how != "mean":
+        raise ValueError(f"not a reduction: {how}")
+    return F.avg(own) if weight is None else F.try_divide(F.sum(own).cast("double"), F.sum(weight).cast("double"))
+
+
 def quantise(x: Column, low: float, high: float, levels: int) -> Column:
     clipped = F.least(F.greatest(x, F.lit(low)), F.lit(high))
     return F.least(F.floor(levels * (clipped - low) / (high - low)), F.lit(levels - 1)).cast("int")

@@ -18,6 +18,15 @@ def code_point_char(notation: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).otherwise(notation)
 
 
+def code_point_char_anywhere(notation: Column) -> Column:
+    """The reading without a check of the length: every ``U+`` goes, and what is left of a notation that begins with it is
+    the code point; anything that is none stays as it is."""
+    hexa = F.regexp_replace(notation, "U\\+", "")
+    padded = F.concat(F.lit("U+"), F.when(F.length(hexa) < 2, F.lpad(hexa, 2, "0")).otherwise(hexa))
+    read = code_point_char(padded)
+    return F.when(notation.startswith("U+") & (F.length(hexa) > 0) & (read != padded), read).otherwise(notation)
+
+
 def strip_white_space(text: Column) -> Column:
     return F.regexp_replace(text, WHITE_SPACE, "")
 

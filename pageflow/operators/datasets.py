@@ -156,3 +156,46 @@ def prepare_inference(masks: DataFrame, pages: DataFrame, done: DataFrame, suffi
     images = pages.select(F.col("stem").alias("page"), F.col("path").alias("image_path"))
     ready = keyed.join(images, "page").join(done.select("page").distinct(), "page", "left_anti")
     return ready, keyed.join(images, "page", "left_anti")
+
+
+def long_enough(examples: DataFrame, ids: str = "ids", least: int = 3) -> DataFrame:
+    """Examples of at least so many tokens, marks included; a null list has none."""
+    return examples.where(F.size(ids) >= least)
+
+
+#: What marks a file as made from another.
+DERIVED_MARKS, DERIVED_ENDINGS = ["02_text_black"], ["_fin.png"]
+
+
+def without_derived(files: DataFrame, name: str = "name", marks: list[str] = DERIVED_MARKS, endings: list[str] = DERIVED_ENDINGS) -> DataFrame:
+    keep = F.lit(True)
+    for m in marks:
+        keep = keep & ~F.contains(F.col(name), F.lit(m))
+    for e in endings:
+        keep = keep & ~F.col(name).endswith(e)
+    return files.where(keep)
+
+
+def parameter_names(names: DataFrame, name: str = "name") -> DataFrame:
+    """Names of a model's parameters without the prefixes of wrappers (the outer one first, each once), and without the
+    counters of a profiler."""
+    kept = names.where(~F.contains(F.col(name), F.lit("total_ops")) & ~F.contains(F.col(name), F.lit("total_params")))
+    return kept.withColumn(name, F.regexp_replace(F.regexp_replace(name, r"^module\.", ""), r"^_orig_mod\.", ""))
+
+
+def boxes_of_books(books: DataFrame, pages: DataFrame, boxes: DataFrame) -> DataFrame:
+    """book_id, page, boxes for all pages of listed books; a page without boxes has an empty list."""
+    grouped = boxes.groupBy("book_id", "page").agg(F.sort_array(F.collect_list(F.struct("idx", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    none = F.filter(F.array(F.struct(*[F.lit(0).alias(c) for c in ("idx", "x1", "y1", "x2", "y2")])), lambda _: F.lit(False))
+    return pages.join(books.select("book_id").distinct(), "book_id", "left_semi").join(grouped, ["book_id", "page"], "left").withColumn("boxes", F.coalesce("boxes", none))
+
+
+def compared_files(restored: DataFrame, reference: DataFrame, masks: DataFrame | None = None, name: str = "name") -> DataFrame:
+    """Every restored file with the path of the reference of its name and, if asked, of its mask; null where there is none."""
+    out = restored.join(reference.select(name, F.col("path").alias("reference_path")), name, "left")
+    return out if masks is None else out.join(masks.select(name, F.col("path").alias("mask_path")), name, "left")
+
+
+def training_pairs(low: DataFrame, good: DataFrame, stem: str = "stem") -> DataFrame:
+    """Files of two listings that share a stem: stem, lq_path, gt_path."""
+    return low.select(stem, F.col("path").alias("lq_path")).join(good.select(stem, F.col("path").alias("gt_path")), stem)

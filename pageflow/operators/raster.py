@@ -83,6 +83,11 @@ def total_variation(pixels: DataFrame, key: str = "image") -> DataFrame:
     return own.withColumns({"_r": F.abs(right - F.col("v")), "_b": F.abs(below - F.col("v"))}).groupBy(key).agg(F.coalesce(F.sum("_r"), F.lit(0)).alias("horizontal"), F.coalesce(F.sum("_b"), F.lit(0)).alias("vertical"))
 
 
+def mask_union(a: Column, b: Column, above: int = 128) -> Column:
+    """1 where either of two masks of 0 to 255 is above the threshold, else 0; a missing one counts as empty."""
+    return F.when((F.coalesce(a, F.lit(0)) > above) | (F.coalesce(b, F.lit(0)) > above), 1).otherwise(0)
+
+
 def binarise(v: Column, threshold: int = 125) -> Column:
     return F.when(v > threshold, 255).otherwise(0)
 

@@ -79,3 +79,11 @@ def within_page(detections: DataFrame, width=None, height=None) -> DataFrame:
     if width is None or height is None:
         return detections
     return detections.where("x1 >= 0 AND y1 >= 0 AND x1 < x2 AND y1 < y2").where((F.col("x2") <= width) & (F.col("y2") <= height))
+
+
+def fixed_cut(pages: DataFrame, size: int = 704, parts: int = 11) -> DataFrame:
+    """page, name, x0, y0, x1, y1 of the equal pieces that a page resized to a square is cut into, columns first."""
+    step = size // parts
+    starts = F.sequence(F.lit(0), F.lit(size - 1), F.lit(step))
+    cut = pages.select("page", F.explode(starts).alias("x0")).select("page", "x0", F.explode(starts).alias("y0"))
+    return cut.select("page", F.format_string("%d_%d.png", "x0", "y0").alias("name"), "x0", "y0", (F.col("x0") + step).alias("x1"), (F.col("y0") + step).alias("y1"))

@@ -263,3 +263,11 @@ def _pair(line: str) -> tuple[str, str] | None:
     """Key and value of a ``key: value`` or ``key:`` line."""
     key, colon, raw = line.partition(":")
     return (key.strip().strip("'\""), raw.strip()) if colon and (not raw or raw[0] == " ") and key[:1] not in ("[", "{") else None
+
+
+def options_text(given: dict, level: int = 1) -> str:
+    """Nested options as indented lines; a nested one stands in square brackets."""
+    pad, lines = "  " * level, []
+    for key, value in given.items():
+        lines.append(f"{pad}{key}:[{options_text(value, level + 1)}{pad}]" if isinstance(value, dict) else f"{pad}{key}: {value}")
+    return "\n" + "".join(line + "\n" for line in lines)

@@ -125,3 +125,14 @@ def test_schedules_step_by_step(spark):
         assert abs(g - rate) < 1e-15
     some = [r[0] for r in spark.createDataFrame([(s,) for s in (0, 10, 400, 1200)], "s int").select(numbers.vibrate_rate(F.col("s"), 1.0, 1600)).collect()]
     assert [round(x, 3) for x in some] == [0.1, 0.983, 0.0, 0.0]
+
+
+def test_code_points_of_any_length(spark):
+    got = [one(spark, text.code_point_char_anywhere(F.col("s")), s=s) for s in ("U+3042", "U+9", "U+30U+42", "U+", "a", "U+ZZ")]
+    assert got == ["あ", "\t", "あ", "U+", "a", "U+ZZ"]
+
+
+def test_options_as_text():
+    from pageflow.sources import readers
+
+    assert readers.options_text({"a": 1, "b": {"c": "x"}}) == "\n  a: 1\n  b:[\n    c: x\n  ]\n"

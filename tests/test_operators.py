@@ -441,3 +441,21 @@ def test_reranking_on_whole_texts(spark):
     log_probs = lambda before, targets, after: [[-float(k + len(before) + 10 * len(after))] * 26 for k in range(len(targets))]
     assert decode.multi_mask_score(encode, log_probs, "axc", 1, "b") == -(11 + 12)
     assert decode.multi_mask_score(encode, log_probs, "axc", 3, "b") == decode.multi_mask_score(encode, log_probs, "axc", 0, "") == -1e9
+
+
+def test_small_joins_and_names(spark):
+    names = spark.createDataFrame([("module._orig_mod.a.w",), ("_orig_mod.module.b",), ("x.total_ops",), ("c",)], "name string")
+    assert rows(datasets.parameter_names(names), "name") == [("a.w",), ("c",), ("module.b",)]
+    files = spark.createDataFrame([("p_02_text_black.png",), ("p_fin.png",), ("p.png",)], "name string")
+    assert rows(datasets.without_derived(files), "name") == [("p.png",)]
+    examples = spark.createDataFrame([(1, [1, 2]), (2, [1, 2, 3]), (3, None)], "k int, ids array<int>")
+    assert rows(datasets.long_enough(examples), "k") == [(2,)]
+    one, two = (spark.createDataFrame(d, "name string, path string") for d in ([("a", "r/a"), ("b", "r/b")], [("a", "g/a")]))
+    assert {tuple(r) for r in datasets.compared_files(one, two, two).select("name", "reference_path", "mask_path").collect()} == {("a", "g/a", "g/a"), ("b", None, None)}
+    stems = [f.withColumnRenamed("name", "stem") for f in (one, two)]
+    assert rows(datasets.training_pairs(*stems), "stem", "lq_path", "gt_path") == [("a", "r/a", "g/a")]
+    pages = spark.createDataFrame([("b1", "p1"), ("b1", "p2"), ("b2", "p1")], "book_id string, page string")
+    boxes = spark.createDataFrame([("b1", "p1", 0, 1, 2, 3, 4)], "book_id string, page string, idx int, x1 int, y1 int, x2 int, y2 int")
+    got = {r["page"]: [tuple(b) for b in r["boxes"]] for r in datasets.boxes_of_books(spark.createDataFrame([("b1",)], "book_id string"), pages, boxes).collect()}
+    assert got == {"p1": [(0, 1, 2, 3, 4)], "p2": []}
+    assert tiling.fixed_cut(pages.limit(1)).count() == 121
