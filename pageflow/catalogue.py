@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import arrays, geometry, numbers, text
-from .operators import confidence, datasets, decode, detect, evalstats, image_quality, layout, lm, raster, recognise, tiling
+from .operators import confidence, datasets, decode, detect, evalstats, image_quality, layout, lm, raster, recognise, restoration, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -743,7 +743,7 @@ def red_composite(spark, d):
     return raster.composite(pick("g", "v"), pick("r", "v"), pick("b", "m"))
 
 
-@query(f"""WITH {BOX}, {PIX}, e AS (SELECT image, sum(power(r - g, 2) * b) / sum(b)::DOUBLE AS mse FROM pix GROUP BY image) SELECT image, round(mse, 5) AS mse, round(CASE WHEN mse = 0 THEN 'inf'::DOUBLE ELSE 10 * log10(65025 / mse) END, 5) AS psnr FROM e""")
+@query(f"""WITH {BOX}, {PIX}, e AS (SELECT image, CASE WHEN sum(b) = 0 THEN 0 ELSE sum(power((r - g) * CASE WHEN top > 1 THEN b / 255.0e0 ELSE b END, 2)) / sum(CASE WHEN top > 1 THEN b / 255.0e0 ELSE b END) END AS mse FROM pix JOIN (SELECT image, max(b) AS top FROM pix GROUP BY image) USING (image) GROUP BY image) SELECT image, round(mse, 5) AS mse, round(CASE WHEN mse = 0 THEN 'inf'::DOUBLE ELSE 10 * log10(65025 / mse) END, 5) AS psnr FROM e""")
 def psnr_masked(spark, d):
     p = pixels(spark, d)
     out = image_quality.psnr(p.select("image", "y", "x", F.col("r").alias("v"), F.col("b").alias("m")), p.select("image", "y", "x", F.col("g").alias("v")), mask=True)
@@ -935,3 +935,151 @@ def mask_union(spark, d):
 def underived_files(spark, d):
     files = _table(spark, d, "documents").select("doc_id", F.concat("source", F.lit(".png")).alias("name"))
     return datasets.without_derived(files, marks=["3"], endings=["1.png"])
+
+
+# --- restoration ----------------------------------------------------------------------------------------------------
+
+
+WHOLE = "whole AS (SELECT * FROM pix SEMI JOIN (SELECT image, y FROM pix WHERE x = 15) USING (image, y))"
+
+
+def _whole(spark, d) -> DataFrame:
+    """The pixels of full lines: a model gives back whole rectangles."""
+    p = pixels(spark, d)
+    return p.join(p.where("x = 15").select("image", "y"), ["image", "y"], "left_semi")
+
+
+def _reference(spark, d) -> DataFrame:
+    """Another version of the pixels: red and green change places, and blue is turned about."""
+    return pixels(spark, d).select("image", "y", "x", F.col("g").alias("r"), F.col("r").alias("g"), (255 - F.col("b")).alias("b"))
+
+
+@query(f"""WITH {BOX}, {PIX}, e AS (SELECT image, (2 * sum(power(r - g, 2)) + sum(power(2 * b - 255, 2))) / (3.0e0 * count(*)) AS mse, avg(power((65.481e0 - 128.553e0) * (r - g) / 255 + 24.966e0 * (2 * b - 255) / 255, 2)) AS luma FROM pix WHERE x >= 2 GROUP BY image)
+SELECT image, round(20 * log10(255 / sqrt(mse)), 5) AS psnr, round(20 * log10(255 / sqrt(luma)), 5) AS psnr_luma FROM e""")
+def psnr_colour(spark, d):
+    a, b = pixels(spark, d), _reference(spark, d)
+    on_luma = image_quality.psnr_colour(a, b, on_luma=True, left=2).withColumnRenamed("psnr", "psnr_luma")
+    return _r(image_quality.psnr_colour(a, b, left=2).join(on_luma, "image"), "psnr", "psnr_luma", digits=5)
+
+
+@query(f"""WITH {BOX}, {PIX}, {WHOLE}, o AS (SELECT dy, dx, CASE WHEN dx = 0 THEN 0 ELSE dx * (2 - abs(dy)) END AS kx, CASE WHEN dy = 0 THEN 0 ELSE dy * (2 - abs(dx)) END AS ky FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)),
+n AS (SELECT image, y - dy AS y, x - dx AS x, sum(r * kx) AS rx, sum(r * ky) AS ry, sum(g * kx) AS gx, sum(g * ky) AS gy FROM whole, o GROUP BY 1, 2, 3)
+SELECT image, round(avg(abs(sqrt(rx * rx + ry * ry + 1e-8) - sqrt(gx * gx + gy * gy + 1e-8))), 6) AS edge FROM n SEMI JOIN whole USING (image, y, x) GROUP BY image""")
+def edge_loss(spark, d):
+    p = _whole(spark, d)
+    return _r(image_quality.edge_loss(p.select("image", "y", "x", F.col("r").alias("v")), p.select("image", "y", "x", F.col("g").alias("v"))), "edge")
+
+
+@query(f"WITH {BOX}, {PIX}, e AS (SELECT image, avg(power(r - g, 2)) AS mse FROM pix GROUP BY image) SELECT round(avg(10 * log10(mse + 1e-8)), 6) AS loss FROM e")
+def psnr_loss(spark, d):
+    p = pixels(spark, d)
+    losses = image_quality.pixel_losses(p.select("image", "y", "x", F.col("r").alias("v")), p.select("image", "y", "x", F.col("g").alias("v")))
+    return losses.agg(F.round(F.avg(image_quality.psnr_loss(F.col("mse"))), 6).alias("loss"))
+
+
+@query(f"WITH {BOX}, {PIX} SELECT p.image, i.idx, (p.y - i.y1)::INT AS y, (p.x - i.x1)::INT AS x, r, g, b FROM pix p JOIN (SELECT page AS image, idx, (x1 % 12)::INT AS x1, (y1 % 6)::INT AS y1 FROM box WHERE idx % 16 = 0) i ON p.image = i.image AND p.x >= x1 AND p.x < x1 + 4 AND p.y >= y1 AND p.y < y1 + 3")
+def cropped_pixels(spark, d):
+    x1, y1 = (F.col("x1") % 12).cast("int"), (F.col("y1") % 6).cast("int")
+    small = boxes(spark, d).where("idx % 16 = 0").select(F.col("page").alias("image"), "idx", x1.alias("x1"), y1.alias("y1"), (x1 + 4).alias("x2"), (y1 + 3).alias("y2"))
+    return restoration.cropped(pixels(spark, d), small)
+
+
+@query(f"WITH {BOX}, {PIX}, o AS (SELECT image, r, row_number() OVER (PARTITION BY image ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY image) AS n FROM pix) SELECT image, r AS median FROM o WHERE i = n // 2")
+def upper_median(spark, d):
+    return restoration.upper_median(pixels(spark, d), ["image"], "r")
+
+
+_MODES = ", ".join(f"m{c} AS (SELECT image, {c} AS m{c} FROM pix GROUP BY image, {c} QUALIFY row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, {c}) = 1)" for c in "rgb")
+
+
+@query(f"WITH {BOX}, {PIX}, {_MODES} SELECT image, y, x, CASE WHEN (x + y) % 5 = 0 THEN mr ELSE r END AS r, CASE WHEN (x + y) % 5 = 0 THEN mg ELSE g END AS g, CASE WHEN (x + y) % 5 = 0 THEN mb ELSE b END AS b FROM pix JOIN mr USING (image) JOIN mg USING (image) JOIN mb USING (image)")
+def masked_by_mode(spark, d):
+    p = pixels(spark, d)
+    return restoration.masked_by_mode(p, p.where((F.col("x") + F.col("y")) % 5 == 0).select("image", "y", "x", F.lit(1).alias("m")))
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, y, x, " + ", ".join(f"CASE WHEN x % 3 = 0 THEN floor(0.5e0 * {c} + 0.5e0 * {v} + 1e-9)::INT ELSE {c} END AS {c}" for c, v in (("r", 130), ("g", 150), ("b", 160))) + " FROM pix")
+def transparent_stain(spark, d):
+    p = pixels(spark, d)
+    return restoration.stained(p, p.select("image", "y", "x", F.when(F.col("x") % 3 == 0, 1).otherwise(0).alias("m")), (130, 150, 160), 0.5)
+
+
+@query(f"""WITH {BOX}, {PIX}, w AS (SELECT image, max(x) AS w FROM pix GROUP BY image), back AS (SELECT image, y, w - x AS x, CASE WHEN (0.2125e0 * r + 0.7154e0 * g + 0.0721e0 * b) / 255 * 2 - 1 > 0 THEN 1.0e0 ELSE 0.5e0 END AS f FROM pix JOIN w USING (image))
+SELECT image, y, x, floor(r * coalesce(f, 1))::INT AS r, floor(g * coalesce(f, 1))::INT AS g, floor(b * coalesce(f, 1))::INT AS b FROM pix LEFT JOIN back USING (image, y, x)""")
+def mirror_ghost(spark, d):
+    return restoration.mirror_ghost(pixels(spark, d))
+
+
+def _load_negative():
+    """A stand-in for a restoration model: the negative where the mask is."""
+    return lambda image, mask: image * (1 - mask[:, :, None]) + (255 - image.astype(float)) * mask[:, :, None]
+
+
+_NEGATIVE = ", ".join(f"CASE WHEN b > 127 THEN 255 - {c} ELSE {c} END AS {c}" for c in "rgb")
+
+
+@query(f"WITH {BOX}, {PIX}, {WHOLE} SELECT image, y, x, {_NEGATIVE} FROM whole")
+def patch_restoration(spark, d):
+    """The stand-in looks at single pixels, so overlapping patches agree and the blend gives their value."""
+    masked = _whole(spark, d).withColumn("m", (F.col("b") > 127).cast("int"))
+    return restoration.restored_by_patches(masked, "negative", _load_negative, size=8, overlap=4)
+
+
+_NEGATIVE_AGAIN = ", ".join(f"CASE WHEN m THEN 255 - floor(pow({c} / 255.0e0, 1 / 1.5e0) * 255.0e0)::INT ELSE floor(pow({c} / 255.0e0, 1 / 1.5e0) * 255.0e0)::INT END AS {c}" for c in "rgb")
+
+
+@query(f"WITH {BOX}, {PIX}, {WHOLE}, first AS (SELECT image, y, x, b > 127 AS m, {_NEGATIVE} FROM whole) SELECT image, y, x, {_NEGATIVE_AGAIN} FROM first")
+def two_stage_restoration(spark, d):
+    masked = _whole(spark, d).withColumn("m", (F.col("b") > 127).cast("int"))
+    return restoration.restored_in_stages(masked, [("negative", _load_negative)] * 2, size=8, overlap=4)
+
+
+def _load_planes():
+    """A stand-in for a model of four planes: white where the mask is."""
+    return lambda planes: [planes[:, :, :3], planes[:, :, :3] + planes[:, :, 3:]]
+
+
+@query(f"WITH {BOX}, {PIX}, {WHOLE}, h AS (SELECT image, max(y) + 1 AS h FROM whole GROUP BY image) SELECT image, y, x, " + ", ".join(f"CASE WHEN (x // 2 + y * 2 // h) % 2 = 0 THEN 255 ELSE {c} END AS {c}" for c in "rgb") + " FROM whole JOIN h USING (image)")
+def mask_restoration(spark, d):
+    """Masks of eight by two places, whatever the image's height."""
+    p = _whole(spark, d)
+    places = p.select("image").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    mask = places.withColumn("m", F.when((F.col("x") + F.col("y")) % 2 == 0, 255).otherwise(0))
+    return restoration.restored_with_mask(p, mask, "planes", _load_planes)
+
+
+@query(f"WITH {BOX} SELECT page, idx, round(16 * cos(acos(least(greatest((part % 201 - 100) / 100.0e0, -1 + 1e-7), 1 - 1e-7)) + 0.3e0), 6) AS logit, round(0.5e0 - 0.5e0 * cos(pi() * (idx % 32) / 32), 9) AS ramp, round((part % 50) / 50.0e0 * (1 + 0.25e0 * (line % 2)), 9) AS boosted, round(sqrt(0.64e0) * (part % 7) + sqrt(0.36e0) * (supp % 5), 9) AS noised FROM box")
+def model_formulas(spark, d):
+    """Margin logits, ramps, text boosts and noised samples."""
+    p = F.col("part")
+    out = {"logit": numbers.margin_logit((p % 201 - 100) / 100.0), "ramp": numbers.cosine_ramp(F.col("idx") % 32, 32), "boosted": numbers.text_boost((p % 50) / 50.0, F.col("line") % 2), "noised": numbers.q_sample(p % 7, F.col("supp") % 5, F.lit(0.64))}
+    return boxes(spark, d).select("page", "idx", *[F.round(c, 6 if n == "logit" else 9).alias(n) for n, c in out.items()])
+
+
+@query(f"WITH {DEC} SELECT page, pos, topk_chars[1] AS greedy, topk_chars[1] || '(0.50), ' || topk_chars[2] || '(0.25), ' || topk_chars[3] || '(0.17)' AS label FROM dec")
+def candidate_labels(spark, d):
+    top = F.transform("topk_chars", lambda c, i: F.struct(c.alias("char"), (0.5 / (i + 1)).alias("prob")))
+    out = decode.greedy(decoded(spark, d).drop("greedy").withColumn("candidates", top))
+    return out.select("page", "pos", "greedy", text.candidates_label(F.col("candidates")).alias("label"))
+
+
+@query("SELECT p_partkey, 'Brand#' || CASE WHEN p_size % 60 < 40 THEN (p_size % 60)::VARCHAR ELSE '?' END AS char FROM part")
+def class_lookup(spark, d):
+    classes = spark.range(40).select(F.col("id").cast("int").alias("class_id"), F.col("id").cast("string").alias("char"))
+    items = _table(spark, d, "part").select("p_partkey", F.array(F.struct((F.col("p_size") % 60).cast("int").alias("class_id"), F.lit(-1.0).alias("logp"))).alias("topk"))
+    named = recognise.with_characters(items, classes)
+    return named.select("p_partkey", F.concat(F.lit("Brand#"), F.get("candidates", F.lit(0))["char"]).alias("char"))
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, count(*) FILTER (WHERE r > 125) AS white, sum(255 - r)::BIGINT AS inverted, round(avg(0.299e0 * r + 0.587e0 * g + 0.114e0 * b), 6) AS grey FROM pix GROUP BY image")
+def binarised(spark, d):
+    p = pixels(spark, d)
+    light = numbers.luma(F.col("r"), F.col("g"), F.col("b"))
+    return p.groupBy("image").agg(F.count_if(raster.binarise(F.col("r")) == 255).alias("white"), F.sum(255 - F.col("r")).cast("long").alias("inverted"), F.round(F.avg(light), 6).alias("grey"))
+
+
+@query("WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT i::INT AS i, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance FROM e GROUP BY i")
+def vector_moments(spark, d):
+    e = _table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
+    mean, cov = image_quality.moments(e)
+    return spark.createDataFrame([(i, round(float(mean[i]), 6), round(float(cov[i, i]), 6)) for i in range(len(mean))], "i int, mean double, variance double")

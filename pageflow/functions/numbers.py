@@ -56,12 +56,12 @@ def gamma(v: Column, g: float = 1.5) -> Column:
 
 
 # The studio-swing transform of ITU-R BT.601, for colours of 0 to 255.
-_Y, _CB, _CR = (65.481, 128.553, 24.966), (-37.797, -74.203, 112.0), (112.0, -93.786, -18.214)
+Y_ROW, _CB, _CR = (65.481, 128.553, 24.966), (-37.797, -74.203, 112.0), (112.0, -93.786, -18.214)
 
 
 def ycbcr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     row = lambda k, off: (k[0] * r + k[1] * g + k[2] * b) / 255.0 + off
-    return row(_Y, 16.0), row(_CB, 128.0), row(_CR, 128.0)
+    return row(Y_ROW, 16.0), row(_CB, 128.0), row(_CR, 128.0)
 
 
 # The way back, for colours of 0 to 255.
