@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import stages
 from .functions import arrays, geometry, numbers, text
 from .operators import confidence, datasets, decode, detect, evalstats, image_quality, layout, lm, raster, recognise, restoration, tiling
+from .sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -178,9 +180,20 @@ def folder_status(spark, d):
     return confidence.folder_status(listed, rec)
 
 
-@query()
+@query(f"""WITH {REC}, {_FOLDER}, s AS (SELECT count(*) AS total, count(DISTINCT char) AS distinct_chars, round(avg(prob), 6) AS mean_conf, round(median(prob), 6) AS median_conf, count(*) FILTER (WHERE prob >= 0.9) AS top_bin FROM rec),
+l AS (SELECT list(folder ORDER BY n DESC, folder) AS largest FROM (SELECT * FROM f ORDER BY n DESC, folder LIMIT 20)), w AS (SELECT list(folder ORDER BY min_conf, folder) AS weakest FROM (SELECT * FROM f ORDER BY min_conf, folder LIMIT 10)),
+c AS (SELECT list(char ORDER BY n DESC, first) AS chars FROM (SELECT char, count(*) AS n, min({{'f': folder, 'p': pos}}) AS first FROM rec GROUP BY char ORDER BY n DESC, first LIMIT 30)), o AS (SELECT list(pos ORDER BY folder, pos) AS low FROM (SELECT * FROM rec WHERE prob < 0.5 ORDER BY folder, pos LIMIT 30))
+SELECT * FROM s, l, w, c, o""")
 def confidence_report(spark, d):
-    return confidence.report(recognitions(spark, d))
+    """The report's document, read again."""
+    listed = "array<struct<folder:bigint>>"
+    schema = f"summary struct<total:bigint,distinct_chars:bigint,mean_conf:double,median_conf:double>, bins array<struct<bin:string,n:bigint>>, largest_folders {listed}, weakest_folders {listed}, most_common array<struct<char:string,rank:int>>, low_confidence array<struct<folder:bigint,pos:bigint>>"
+    r = confidence.report(recognitions(spark, d)).select(F.from_json("report", schema).alias("r")).select("r.*")
+    chars = F.transform(F.array_sort("most_common", lambda a, b: a["rank"] - b["rank"]), lambda c: c["char"])
+    top = F.get(F.filter("bins", lambda b: b["bin"] == "0.9-1.0"), F.lit(0))["n"]
+    low = F.transform(F.sort_array("low_confidence"), lambda x: x["pos"])
+    out = r.select("summary.*", top.alias("top_bin"), F.col("largest_folders.folder").alias("largest"), F.col("weakest_folders.folder").alias("weakest"), chars.alias("chars"), low.alias("low"))
+    return _r(out, "mean_conf", "median_conf")
 
 
 # --- layout and tiles -----------------------------------------------------------------------------------------------
@@ -630,7 +643,9 @@ def class_index_weights(spark, d):
     return _r(datasets.class_index(_table(spark, d, "part").select(F.col("p_type").alias("cls"))), "weight", digits=9)
 
 
-@query()
+@query("""WITH c AS (SELECT p_type AS cls, (row_number() OVER (ORDER BY p_type) - 1) AS class_id, count(*) AS n FROM part GROUP BY p_type), m AS (SELECT p_type AS cls, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT, p_partkey) - 1 AS i FROM part),
+r AS (SELECT id AS draw, ('0x' || substr(md5('0:class:' || id), 1, 15))::BIGINT % (SELECT count(*) FROM c) AS class_id, ('0x' || substr(md5('0:member:' || id), 1, 15))::BIGINT AS u FROM (SELECT unnest(range(1000)) AS id))
+SELECT draw, cls, p_partkey FROM r JOIN c USING (class_id) JOIN m USING (cls) WHERE m.i = u % n""")
 def weighted_draws(spark, d):
     members = _table(spark, d, "part").select(F.col("p_type").alias("cls"), "p_partkey")
     return datasets.weighted_draws(members, 1000, "p_partkey").select("draw", "cls", "p_partkey")
@@ -796,7 +811,15 @@ def total_variation(spark, d):
     return raster.total_variation(pixels(spark, d).select("image", "y", "x", F.col("r").alias("v")))
 
 
-@query()
+_W = "w AS (SELECT i, exp(-power(i - 5, 2) / 4.5e0) / sum(exp(-power(i - 5, 2) / 4.5e0)) OVER () AS w FROM (SELECT unnest(range(11)) AS i))"
+_SUMS = {"a": "a", "b": "b", "aa": "a * a", "bb": "b * b", "ab": "a * b"}
+
+
+@query(f"""WITH {BOX}, {PIX}, {_W}, p AS (SELECT image % 4 AS image, image // 4 * 16 + y AS y, x, r AS a, g AS b FROM pix), g AS (SELECT image, unnest(range((max(y) + 1)::BIGINT)) AS y FROM p GROUP BY image),
+full_ AS (SELECT image, y, x, coalesce(a, 0)::DOUBLE AS a, coalesce(b, 0)::DOUBLE AS b FROM (SELECT image, y, unnest(range(16)) AS x FROM g) LEFT JOIN p USING (image, y, x)),
+across AS (SELECT image, y, x - i AS x, {", ".join(f"sum(w * {e}) AS {n}" for n, e in _SUMS.items())} FROM full_ JOIN w ON x - i BETWEEN 0 AND 5 GROUP BY ALL),
+both_ AS (SELECT image, y - i AS y, x, {", ".join(f"sum(w * {n}) AS {n}" for n in _SUMS)} FROM across JOIN w ON y - i >= 0 GROUP BY ALL HAVING count(*) = 11)
+SELECT image, round(avg((2 * a * b + 6.5025e0) * (2 * (ab - a * b) + 58.5225e0) / ((a * a + b * b + 6.5025e0) * (aa - a * a + bb - b * b + 58.5225e0))), 6) AS ssim FROM both_ GROUP BY image""")
 def ssim(spark, d):
     p = pixels(spark, d).select((F.col("image") % 4).alias("image"), (F.floor(F.col("image") / 4) * 16 + F.col("y")).cast("int").alias("y"), "x", "r", "g")
     return _r(image_quality.ssim(p.select("image", "y", "x", F.col("r").alias("v")), p.select("image", "y", "x", F.col("g").alias("v"))), "ssim")
@@ -897,13 +920,15 @@ def resize_weights(spark, d):
     return taps.groupBy("place").agg(F.round(F.sum("w"), 6).alias("total"))
 
 
-@query()
+@query("""WITH n AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT d.doc_id, d.lang, n.doc_id AS partner_doc_id, n.lang AS partner_lang FROM documents d JOIN n ON n.i = ('0x' || substr(md5('0:' || d.doc_id), 1, 15))::BIGINT % (SELECT count(*) FROM documents)""")
 def random_partners(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "lang")
     return datasets.random_partners(docs, docs, "doc_id")
 
 
-@query()
+@query(f"""WITH {BOX}, {PIX}, k AS (SELECT DISTINCT image, k FROM pix, (SELECT unnest([1, 2, 3]) AS k)), u AS (SELECT image, {', '.join(f"('0x' || substr(md5('0:' || image || ':' || k || ':{c}'), 1, 15))::BIGINT % 1000003 / 1000003.0e0 AS u{c}" for c in (1, 2, 3))} FROM k),
+disc AS (SELECT image, u1 * 12 AS cy, u2 * 16 AS cx, 1 + u3 * 12 / 4 AS r FROM u), g AS (SELECT * FROM (SELECT unnest(range(12)) AS y), (SELECT unnest(range(16)) AS x))
+SELECT DISTINCT image, y::INT AS y, x::INT AS x, 255 AS m FROM disc, g WHERE power(y - cy, 2) + power(x - cx, 2) <= power(r, 2)""")
 def blob_masks(spark, d):
     return raster.blob_masks(pixels(spark, d), 12, 16)
 
@@ -1083,3 +1108,99 @@ def vector_moments(spark, d):
     e = _table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
     mean, cov = image_quality.moments(e)
     return spark.createDataFrame([(i, round(float(mean[i]), 6), round(float(cov[i, i]), 6)) for i in range(len(mean))], "i int, mean double, variance double")
+
+
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {BOX} SELECT 'U+' || printf('%X', 12354 + part % 80) AS \"Unicode\", page::VARCHAR AS \"Image\", x1::DOUBLE AS \"X\", y1::DOUBLE AS \"Y\", (x2 - x1)::DOUBLE AS \"Width\", (y2 - y1)::DOUBLE AS \"Height\", how FROM box, (SELECT unnest(['name', 'place']) AS how)")
+def coordinate_files(spark, d):
+    """Coordinates as CSV, read by column name and by place."""
+    notation = F.concat(F.lit("U+"), F.hex(F.unhex(F.hex(12354 + F.col("part") % 80))))
+    rows = boxes(spark, d).select(notation.alias("Unicode"), F.col("page").alias("Image"), F.col("x1").alias("X"), F.col("y1").alias("Y"), F.lit("B").alias("Block ID"), "idx", (F.col("x2") - F.col("x1")).alias("Width"), (F.col("y2") - F.col("y1")).alias("Height"))
+    path = stages.new_folder(spark, "coordinates")
+    rows.write.option("header", True).csv(path)
+    return readers.coordinates(spark, path).withColumn("how", F.lit("name")).unionByName(readers.coordinates_by_position(spark, path).withColumn("how", F.lit("place")))
+
+
+@query(f"WITH {REC} SELECT 'folder=' || folder AS folder, (row_number() OVER (PARTITION BY folder ORDER BY pos) - 1)::INT AS pos, char, prob FROM rec")
+def recognition_files(spark, d):
+    """One JSON list in each folder, read again."""
+    item = F.struct("pos", F.struct("char", "prob").alias("p"))
+    lists = recognitions(spark, d).groupBy("folder").agg(F.to_json(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["p"])).alias("value"))
+    path = stages.new_folder(spark, "recognitions")
+    lists.write.partitionBy("folder").text(path)
+    return readers.recognitions(spark, path, "part-*").select("folder", "pos", "char", "prob")
+
+
+@query("WITH c AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i FROM part GROUP BY p_brand) SELECT i::INT AS class_id, p_brand AS unicode, p_brand AS char, how FROM c, (SELECT unnest(['list', 'map']) AS how)")
+def class_files(spark, d):
+    """Classes as lines and as one JSON object with numbers as keys."""
+    names = datasets.class_index(_table(spark, d, "part").select(F.col("p_brand").alias("cls")))
+    lines, object_ = stages.new_folder(spark, "class-list"), stages.new_folder(spark, "class-map")
+    names.coalesce(1).sortWithinPartitions("class_id").select(F.col("cls").alias("value")).write.text(lines)
+    names.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("class_id").cast("string"), "cls")))).alias("value")).write.text(object_)
+    listed = readers.class_list(spark, lines).withColumn("how", F.lit("list"))
+    return listed.unionByName(readers.class_map(spark, object_).withColumn("how", F.lit("map")))
+
+
+@query("WITH t AS (SELECT 'source=' || source AS book_id, string_agg(coalesce(lang, '') || ' ' || doc_id, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source) SELECT book_id, md5(text) AS digest, strlen(text)::BIGINT AS size FROM t")
+def page_text_files(spark, d):
+    item = F.struct("doc_id", F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.col("doc_id").cast("string")).alias("t"))
+    books = _table(spark, d, "documents").groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), "\n").alias("value"))
+    path = stages.new_folder(spark, "page-texts")
+    books.write.partitionBy("source").text(path)
+    return readers.page_texts(spark, path).select("book_id", F.md5("text").alias("digest"), "size")
+
+
+@query("SELECT chr(65279) || 'p_type,n' AS line UNION ALL SELECT p_type || ',' || count(*) FROM part GROUP BY p_type")
+def csv_report_file(spark, d):
+    path = stages.new_folder(spark, "report")
+    sinks.csv_report(_table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")), path, ["p_type"])
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)  # a text reader leaves the mark out
+    return raw.select(F.explode(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
+
+
+@query("SELECT '[' || string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']' AS document FROM nation")
+def json_array_file(spark, d):
+    path = stages.new_folder(spark, "array")
+    sinks.json_array(_table(spark, d, "nation").select("n_nationkey", "n_name"), path, ["n_nationkey"])
+    return spark.read.text(path).withColumnRenamed("value", "document")
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_partkey || '.png (' || p_size || ',' || p_size * 2 || ',3) 1' AS meta FROM part WHERE p_partkey IN (1, 7, 100)")
+def store_files(spark, d):
+    """An image store, asked for three keys."""
+    path = stages.new_folder(spark, "store")
+    size = F.col("p_size").cast("int")
+    images = _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), F.lit(b"").alias("data"), size.alias("h"), (size * 2).alias("w"), F.lit(3).alias("c"))
+    sinks.image_store(images, path)
+    return readers.store_get(spark, path, ["1", "7", "100", "none"]).select("key", "meta")
+
+
+@query(f"SELECT split, count(*) AS n FROM documents JOIN (VALUES {_SPLIT_VALUES}) s(split, source) USING (source) GROUP BY split")
+def split_files(spark, d):
+    """Written once; the second call finds the files and keeps them."""
+    path = stages.new_folder(spark, "split")
+    members = datasets.split_members(_table(spark, d, "documents").select("doc_id", "source"), _SPLITS, "source")
+    for _ in range(2):
+        sinks.materialise_split(members, path)
+    return spark.read.parquet(path).groupBy(F.col("split").cast("string").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS num_texts, min(length(text))::INT AS min_len, max(length(text))::INT AS max_len, round(avg(length(text)), 6) AS mean_len, count(*) AS lines, least(20, count(*)) AS previewed FROM (SELECT lang || '-' || doc_id AS text FROM documents WHERE lang IS NOT NULL)")
+def corpus_files(spark, d):
+    path = stages.new_folder(spark, "corpus")
+    lines = _table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("page"), F.concat_ws("-", "lang", F.col("doc_id").cast("string")).alias("text"))
+    sinks.corpus(lines, path)
+    meta = spark.read.schema("num_texts long, min_len int, max_len int, mean_len double").json(f"{path}/meta")
+    count = lambda p, name: spark.read.text(f"{path}/{p}").agg(F.count(F.lit(1)).alias(name))
+    return _r(meta.crossJoin(count("text", "lines")).crossJoin(count("preview", "previewed")), "mean_len")  # one row each
+
+
+@query("SELECT user_id::VARCHAR AS folder, count(*) AS n FROM events GROUP BY user_id")
+def json_lines_files(spark, d):
+    path = stages.new_folder(spark, "lines")
+    sinks.json_lines(recognitions(spark, d), path)
+    rows = spark.read.schema("folder string, pos long, char string, prob double").json(path)
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))

@@ -68,14 +68,19 @@ def class_index(samples: DataFrame, cls: str = "cls") -> DataFrame:
     return counts.withColumn("class_id", F.row_number().over(Window.orderBy(cls)) - 1).withColumn("weight", 1.0 / F.col("n"))  # a row for each class
 
 
+def drawn(*parts: Column) -> Column:
+    """A whole number of 60 bits from a digest of the parts: the same at every run and in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in parts])), 1, 15), 16, 10).cast("long")
+
+
 def weighted_draws(samples: DataFrame, n: int, key: str, cls: str = "cls", seed: int = 0) -> DataFrame:
     """n draws with replacement in which all classes are equally likely: a uniform class, then a uniform member. Members
     are numbered within their class, so a draw is an equi-join on (class, number)."""
     counts = class_index(samples, cls).select(cls, "class_id", "n")
     members = samples.withColumn("_i", F.row_number().over(Window.partitionBy(cls).orderBy(hash_order(F.col(key)), key)) - 1)
     k = counts.count()
-    draws = samples.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(F.rand(seed) * k).cast("int").alias("class_id"), F.rand(seed + 1).alias("_u"))
-    picked = draws.join(F.broadcast(counts), "class_id").withColumn("_i", F.floor(F.col("_u") * F.col("n")).cast("int"))
+    draws = samples.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(drawn(F.lit(seed), F.lit("class"), F.col("id")), F.lit(max(k, 1))).cast("int").alias("class_id"), drawn(F.lit(seed), F.lit("member"), F.col("id")).alias("_u"))
+    picked = draws.join(F.broadcast(counts), "class_id").withColumn("_i", F.pmod("_u", "n").cast("int"))
     return picked.select("draw", cls, "_i").join(members, [cls, "_i"]).drop("_i")
 
 
@@ -134,7 +139,7 @@ def random_partners(left: DataFrame, right: DataFrame, key: str, seed: int = 0)
     """Each row of ``left`` with some row of ``right``, decided by a hash of its key: numbers on one side, an equi-join."""
     n = right.count()
     numbered = dense_ids(right, [key], "_number").select("_number", *[F.col(c).alias(f"partner_{c}") for c in right.columns])
-    return left.withColumn("_number", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(n, 1)))).join(numbered, "_number").drop("_number")
+    return left.withColumn("_number", F.pmod(drawn(F.lit(seed), F.col(key)), F.lit(max(n, 1)))).join(numbered, "_number").drop("_number")
 
 
 def key_difference(have: DataFrame, want: DataFrame, key: str, shape: str) -> DataFrame:

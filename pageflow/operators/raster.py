@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import feather, text_boost
+from .datasets import drawn
 
 
 def value_counts(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -164,7 +165,7 @@ def blend(pixels: DataFrame, mask: DataFrame, colour: int, opacity: float) -> Da
 
 def blob_masks(images: DataFrame, height: int, width: int, blobs: int = 3, seed: int = 0) -> DataFrame:
     """image, y, x, m: discs at places that a hash of the image's key decides, so that a rerun gives the same."""
-    draw = lambda k, c: F.pmod(F.xxhash64("image", F.lit(seed), F.col("k"), F.lit(c)), F.lit(1_000_003)) / 1_000_003.0
+    draw = lambda k, c: F.pmod(drawn(F.lit(seed), F.col("image"), F.col("k"), F.lit(c)), F.lit(1_000_003)) / 1_000_003.0
     discs = images.select("image").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(blobs)))).select("image", (draw("k", 1) * height).alias("cy"), (draw("k", 2) * width).alias("cx"), (1 + draw("k", 3) * min(height, width) / 4).alias("r"))
     span = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) - F.col("r")).cast("int")), F.least(F.lit(n - 1), F.ceil(F.col(c) + F.col("r")).cast("int"))))
     near = discs.withColumn("y", span("cy", height)).withColumn("x", span("cx", width))

@@ -28,6 +28,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 _MADE: set[str] = set()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path for files of any kind, which :func:`clear` deletes too."""
+    path = new_path(spark, name)
+    _MADE.add(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written once in the shared folder: its lineage ends here, and a lost executor costs nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
