@@ -1,5 +1,6 @@
 """Encoding, packing and token files, against brute force and round trips."""
 
+import bisect
 import random
 import zlib
 
@@ -97,6 +98,43 @@ def test_plan_is_a_packing_near_the_bound(seed):
     assert n <= len(gaps) * 1.02 + 1
 
 
+def rounds_by_rows(lengths, capacity):
+    """Bulk-synchronous rounds on single pieces: each finds its successor among the gaps, the i-th of those that want a size
+    takes the i-th gap of it, the rest waits; what has no successor opens as many sequences as its volume needs."""
+    left, gaps, opened, rounds = sorted(lengths, reverse=True), [], 0, 0
+    while left:
+        rounds += 1
+        gaps.sort()
+        sizes, free = sorted(set(gaps)), {}
+        for g in gaps:
+            free[g] = free.get(g, 0) + 1
+        waiting, lost, taken = [], [], []
+        for x in left:
+            at = bisect.bisect_left(sizes, x)
+            if at == len(sizes):
+                lost.append(x)
+            elif free[sizes[at]]:
+                free[sizes[at]] -= 1
+                taken.append(sizes[at] - x)
+            else:
+                waiting.append(x)
+        new = lost[: -(-sum(lost) // capacity)]
+        opened += len(new)
+        gaps = [g for g, n in free.items() for _ in range(n)] + [g for g in taken + [capacity - x for x in new] if g]
+        left = sorted(waiting + lost[len(new) :], reverse=True)
+    return opened, rounds
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_needs_no_more_sequences_than_rounds_by_rows(seed):
+    r = random.Random(100 + seed)
+    lengths = [min(2048, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(3000)]
+    counts = {x: lengths.count(x) for x in set(lengths)}
+    n = simulate(packing.plan(counts, 2048), counts, 2048)
+    opened, rounds = rounds_by_rows(lengths, 2048)
+    assert -(-sum(lengths) // 2048) <= n <= opened and rounds > 50
+
+
 def test_no_documents(spark):
     none = docs(spark, [])
     assert packing.packed(none, tokenizer_path()).count() == 0
