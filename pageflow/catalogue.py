@@ -422,7 +422,7 @@ def annotation_table(spark, d):
 
 @query(f"""WITH {BOX}, b AS (SELECT page, count(*) AS bbox_n, count(*) FILTER (WHERE part % 17 = 0) AS unknown_n FROM box GROUP BY page), t AS (SELECT doc_id AS page, text, length(regexp_replace(text, '[\\s\\p{{Z}}\\x00-\\x1f\\x7f\\x85]', '', 'g')) AS gt_n FROM documents)
 SELECT page, bbox_n, unknown_n, coalesce(gt_n, 0)::BIGINT AS gt_n, coalesce(gt_n, 0) = 0 AS blank, (bbox_n - coalesce(gt_n, 0))::BIGINT AS diff FROM b LEFT JOIN t USING (page)""")
-def bbox_text_check(spark, d):
+def bbox_text_counts(spark, d):
     b = boxes(spark, d).groupBy("page").agg(F.count(F.lit(1)).alias("bbox_n"), F.count_if(F.col("part") % 17 == 0).alias("unknown_n"))
     t = documents(spark, d).select(F.col("doc_id").alias("page"), F.length(text.strip_invisible(F.col("text"))).cast("long").alias("gt_n"))
     both = b.join(t, "page", "left").withColumn("gt_n", F.coalesce("gt_n", F.lit(0).cast("long")))
@@ -1204,3 +1204,61 @@ def json_lines_files(spark, d):
     sinks.json_lines(recognitions(spark, d), path)
     rows = spark.read.schema("folder string, pos long, char string, prob double").json(path)
     return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- checks, runs and registered measures ---------------------------------------------------------------------------
+
+_CHECK = f"""{BOX}, b AS (SELECT page, count(*) AS bbox_n FROM box GROUP BY page), t AS (SELECT doc_id AS page, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN chr(12288) || chr(8203) ELSE repeat('a? b' || chr(10), (doc_id * 7 % 60)::INT) END AS text FROM documents),
+c AS (SELECT page, text, replace(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), chr(12288), ' '), ' ', '') AS line FROM t), k AS (SELECT page, bbox_n, length(line) AS gt_n, length(line) - length(replace(line, '?', '')) AS target_n, CASE WHEN text = '' THEN 'size==0' WHEN page % 5 = 1 OR line = '' THEN 'only_whitespace/invisible' END AS blank_reason, bbox_n - length(line) AS diff, CASE WHEN bbox_n = length(line) THEN 'OK' ELSE 'NG' END AS status FROM b JOIN c USING (page))"""
+
+
+def _checked(spark, d) -> DataFrame:
+    n = F.col("doc_id")
+    body = F.when(n % 5 == 0, "").when(n % 5 == 1, "\u3000\u200b").otherwise(F.expr("repeat('a? b\\n', int(doc_id * 7 % 60))"))
+    texts = _table(spark, d, "documents").select(n.alias("page"), body.alias("text"))
+    return evalstats.text_check(boxes(spark, d), texts).select("page", "bbox_n", "gt_n", "target_n", "blank_reason", "diff", "status")
+
+
+@query(f"WITH {_CHECK} SELECT page, bbox_n, gt_n, target_n, CASE WHEN text_empty THEN 'size==0' ELSE blank_reason END AS blank_reason, diff, status FROM (SELECT k.*, (SELECT any_value(text = '') FROM c WHERE c.page = k.page) AS text_empty FROM k)")
+def bbox_text_check(spark, d):
+    return _checked(spark, d)
+
+
+@query(f"WITH {_CHECK} SELECT count(*) FILTER (WHERE status = 'OK') AS matched, count(*) FILTER (WHERE status = 'NG') AS mismatched, count(*) FILTER (WHERE target_n > 0) AS target_pages, coalesce(sum(target_n), 0)::BIGINT AS targets, count(blank_reason) AS blank_pages FROM k")
+def bbox_text_totals(spark, d):
+    return evalstats.text_check_totals(_checked(spark, d))
+
+
+@query("WITH n AS (SELECT CASE WHEN page_id % 4 = 0 THEN 'cover' || page_id ELSE 'b' END AS odd, printf('%d_%05d_%d', page_id % 7, page_id * 37 % 1000, page_id % 2 + 1) AS good, page_id FROM pages), m AS (SELECT CASE WHEN page_id % 4 = 0 THEN odd ELSE good END AS name, CASE WHEN page_id % 4 = 0 THEN 4611686018427387904 ELSE page_id * 37 % 1000 END AS seq, CASE WHEN page_id % 4 = 0 THEN 4611686018427387904 ELSE page_id % 2 + 1 END AS side, page_id FROM n) SELECT name, page_id, row_number() OVER (ORDER BY seq, side, name, page_id) - 1 AS place FROM m QUALIFY count(*) OVER (PARTITION BY name) = 1")
+def page_order(spark, d):
+    p = F.col("page_id")
+    name = F.when(p % 4 == 0, F.concat(F.lit("cover"), p.cast("string"))).otherwise(F.format_string("%d_%05d_%d", p % 7, p * 37 % 1000, p % 2 + 1))
+    named = _table(spark, d, "pages").select(name.alias("name"), "page_id")
+    ranked = datasets.in_page_order(named.withColumn("_one", F.lit(1)), rank="place").drop("_one")
+    single = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return ranked.join(single.select("name"), "name", "left_semi").select("name", "page_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT doc_id, '/out/scans/' || source || '/' || doc_id AS folder, '/out/scans/' || source || '/' || doc_id || '/patches' AS patches, '/out/scans/' || source || '/' || doc_id || '/' || doc_id || '.png' AS result FROM documents")
+def output_folders(spark, d):
+    files = _table(spark, d, "documents").select("doc_id", F.concat(F.lit("/in/scans/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
+    return datasets.output_tree(files, "/out", "/in/scans/").select("doc_id", "folder", "patches", "result")
+
+
+@query("SELECT folder, '/out/RESULT_' || folder AS output, eta FROM (SELECT DISTINCT source AS folder FROM documents), (SELECT unnest(['0.5', '1.0']) AS eta) WHERE starts_with(folder, 'src1')")
+def sweep_runs(spark, d):
+    folders = _table(spark, d, "documents").select(F.col("source").alias("folder")).distinct()
+    return datasets.sweep(folders, "src1", "/out/", [{"eta": "0.5"}, {"eta": "1.0"}]).select("folder", "output", F.col("settings")["eta"].alias("eta"))
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, round(20 * log10(255 / sqrt((2 * sum(power(r - g, 2)) + sum(power(2 * b - 255, 2))) / (3.0e0 * count(*)))), 5) AS all_psnr, round(20 * log10(255 / sqrt(avg(power((65.481e0 - 128.553e0) * (r - g) / 255 + 24.966e0 * (2 * b - 255) / 255, 2)))), 5) AS luma_psnr FROM pix GROUP BY image")
+def registered_metrics(spark, d):
+    wanted = {"all_psnr": {"type": "psnr"}, "luma_psnr": {"type": "psnr", "on_luma": True}}
+    return _r(image_quality.measured(pixels(spark, d), _reference(spark, d), wanted), *wanted, digits=5)
+
+
+@query(f"WITH {BOX}, {PIX} SELECT image, round(sum(abs(r - g) * b)::DOUBLE / nullif(sum(b), 0), 6) AS absolute, round(avg(power(r - g, 2)), 6) AS squared, round(sum(sqrt(power(r - g, 2) + 1e-12)), 6) AS charbonnier FROM pix GROUP BY image")
+def weighted_losses(spark, d):
+    r, g = F.col("r"), F.col("g")
+    out = pixels(spark, d).groupBy("image").agg(numbers.absolute_loss(r, g, F.col("b")).alias("absolute"), numbers.squared_loss(r, g).alias("squared"), numbers.charbonnier_loss(r, g, how="sum").alias("charbonnier"))
+    return _r(out, "absolute", "squared", "charbonnier")

@@ -203,3 +203,30 @@ def dequantised_flow(q: Column, size: Column, max_value: float = 0.02, levels: i
 def soft_mask(score: Column) -> Column:
     """A network's output as a mask of 0 to 255, truncated."""
     return F.floor(255.0 / (1 + F.exp(-score))).cast("int")
+
+
+def weighted_loss(loss):
+    """Gives an elementwise loss of (prediction, target) a ``weight`` and a reduction ``how``, as :func:`reduced` has them."""
+    import functools
+
+    @functools.wraps(loss)
+    def run(pred: Column, target: Column, weight: Column | None = None, how: str = "mean", **settings) -> Column:
+        return reduced(loss(pred, target, **settings), weight, how)
+
+    return run
+
+
+@weighted_loss
+def absolute_loss(pred: Column, target: Column) -> Column:
+    return F.abs(pred - target)
+
+
+@weighted_loss
+def squared_loss(pred: Column, target: Column) -> Column:
+    return (pred - target) * (pred - target)
+
+
+@weighted_loss
+def charbonnier_loss(pred: Column, target: Column, eps: float = 1e-12) -> Column:
+    """The root's offset is ``eps`` itself here, not its square."""
+    return F.sqrt((pred - target) * (pred - target) + eps)

@@ -204,3 +204,31 @@ def compared_files(restored: DataFrame, reference: DataFrame, masks: DataFrame |
 def training_pairs(low: DataFrame, good: DataFrame, stem: str = "stem") -> DataFrame:
     """Files of two listings that share a stem: stem, lq_path, gt_path."""
     return low.select(stem, F.col("path").alias("lq_path")).join(good.select(stem, F.col("path").alias("gt_path")), stem)
+
+
+def in_page_order(names: DataFrame, name: str = "name", rank: str = "rank") -> DataFrame:
+    """Names ``<book>_<sequence>_<side>`` ranked by sequence and side from 0; names of another form come last."""
+    from ..functions.text import page_numbers
+
+    far = F.lit(2**62)
+    seq, side = (F.coalesce(c, far) for c in page_numbers(F.col(name)))
+    return dense_ids(names.withColumns({"_seq": seq, "_side": side}), ["_seq", "_side", name], rank).drop("_seq", "_side")
+
+
+def output_tree(images: DataFrame, root: str, base: str, path: str = "path") -> DataFrame:
+    """Adds the folder of each image's results below ``root``: the last part of ``base``, what lies between it and the image,
+    and the image's stem; and in it the folders of its patches and crops and the name of the whole result."""
+    from ..functions.text import base_name, stem
+
+    base = base.rstrip("/")
+    between = F.regexp_replace(F.expr(f"substring({path}, {len(base) + 2})"), "[^/]*$", "")
+    folder = F.concat(F.lit(f"{root.rstrip('/')}/{base.rsplit('/', 1)[-1]}/"), between, stem(F.col(path)))
+    return images.withColumns({"folder": folder, "patches": F.concat(folder, F.lit("/patches")), "crops": F.concat(folder, F.lit("/crops")), "result": F.concat(folder, F.lit("/"), base_name(F.col(path)))})
+
+
+def sweep(folders: DataFrame, prefix: str, root: str, settings: list[dict[str, str]] | None = None, name: str = "folder") -> DataFrame:
+    """A run for each folder whose name begins with ``prefix`` and each of a few settings, with its output folder."""
+    chosen = folders.where(F.col(name).startswith(prefix)).withColumn("output", F.concat(F.lit(f"{root.rstrip('/')}/RESULT_"), name))
+    if not settings:
+        return chosen
+    return chosen.withColumn("settings", F.explode(F.array(*[F.create_map(*[F.lit(x) for kv in sorted(s.items()) for x in kv]) for s in settings])))

@@ -81,3 +81,22 @@ def annotations(decoded: DataFrame) -> DataFrame:
     """What an overlay draws: label of greedy, true, LM and final character, and a colour by outcome."""
     colour = F.when(F.col("_o") == "fix", "green").when(F.col("_o") == "worse", "red").when(F.col("_o") == "bothx", "yellow").otherwise("grey")
     return decoded.withColumn("_o", outcome()).withColumns({"label": F.concat("greedy", "gt", "lm", "final"), "colour": colour}).drop("_o")
+
+
+def text_check(boxes: DataFrame, texts: DataFrame, target: str = "?", page: str = "page") -> DataFrame:
+    """Pages that have both boxes and a text (page, text): bbox_n, gt_n (characters of the text without white
+    space), target_n, diff, status, and why a text counts as blank, else null."""
+    from ..functions import text as T
+
+    line = T.strip_white_space(F.col("text"))
+    reason = F.when(F.col("text") == "", "size==0").when(T.strip_invisible(F.col("text")) == "", "only_whitespace/invisible")
+    counted = texts.select(page, F.length(line).cast("long").alias("gt_n"), T.count_of(line, target).alias("target_n"), reason.alias("blank_reason"))
+    both = boxes.groupBy(page).agg(F.count(F.lit(1)).alias("bbox_n")).join(counted, page)
+    return both.withColumns({"diff": F.col("bbox_n") - F.col("gt_n"), "status": F.when(F.col("bbox_n") == F.col("gt_n"), "OK").otherwise("NG")})
+
+
+def text_check_totals(checked: DataFrame) -> DataFrame:
+    return checked.agg(
+        F.count_if(F.col("status") == "OK").alias("matched"), F.count_if(F.col("status") == "NG").alias("mismatched"), F.count_if(F.col("target_n") > 0).alias("target_pages"),
+        F.coalesce(F.sum("target_n"), F.lit(0)).cast("long").alias("targets"), F.count_if(F.col("blank_reason").isNotNull()).alias("blank_pages"),
+    )

@@ -58,8 +58,13 @@ def corpus(lines: DataFrame, path: str, preview: int = 20, order: str = "page",
     corpus_meta(lines).coalesce(1).write.mode(mode).json(f"{path}/meta")
 
 
-def materialise_split(members: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Rows by split; what exists is kept unless told otherwise."""
+def materialise_split(members: DataFrame, path: str, overwrite: bool = False, sources: DataFrame | None = None, key: str = "path") -> None:
+    """Rows by split; what exists is kept unless told otherwise. With the ``sources`` that there are (by ``key``), a member
+    without one is an error, and nothing is written."""
+    if sources is not None:
+        lost = [r[0] for r in members.join(sources.select(key), key, "left_anti").select(key).limit(5).collect()]
+        if lost:
+            raise FileNotFoundError(f"no source for {lost}")
     members.write.mode("overwrite" if overwrite else "ignore").partitionBy("split").parquet(path)
 
 

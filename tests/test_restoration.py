@@ -206,3 +206,35 @@ def test_psnr_of_two_views_small_images_and_masks(spark):
     error = ((left * (m / 255)[..., None]) ** 2).sum() / (3 * (m / 255).sum())
     assert image_quality.psnr_colour(masked, rows(spark, {1: b}), masked=True).first()["psnr"] == pytest.approx(20 * np.log10(255 / np.sqrt(error)))
     assert image_quality.psnr_colour(masked.withColumn("m", F.lit(0)), rows(spark, {1: b}), masked=True).first()["psnr"] == float("inf")
+
+
+def test_pages_through_a_square_and_red_text(spark):
+    flat = np.full((4, 6, 3), 100)
+    red = spark.createDataFrame([(1, 0, 0, 255), (1, 3, 5, 255)], "image int, y int, x int, m int")
+    load = lambda: lambda planes: planes * 0.5
+    got = grid(restoration.page_restored(rows(spark, {1: flat}), red, 4, 6, 8, "half", load), 1)
+    want = np.full((4, 6, 3), 50)
+    want[0, 0] = want[3, 5] = 100
+    assert np.array_equal(got, want)
+    assert (grid(restoration.page_restored(rows(spark, {1: flat}), None, 4, 6, 8, "half", load), 1) == 50).all()
+
+
+def test_gram_and_perceptual_loss():
+    a, b = RNG.normal(size=(3, 4, 5)), RNG.normal(size=(3, 4, 5))
+    want = [[sum(a[i, y, x] * a[j, y, x] for y in range(4) for x in range(5)) / 60 for j in range(3)] for i in range(3)]
+    assert np.allclose(image_quality.gram(a), want)
+    seen, style = image_quality.perceptual_loss({"l": a}, {"l": b}, {"l": 2.0}, 0.5, 3.0)
+    assert seen == pytest.approx(np.abs(a - b).mean()) and style == pytest.approx(6 * np.abs(image_quality.gram(a) - image_quality.gram(b)).mean())
+    assert image_quality.perceptual_loss({"l": a}, {"l": a}, {"l": 1.0}, 0) == (None, None)
+
+
+def test_unknown_metric_and_missing_source(spark, tmp_path):
+    from pageflow.sources import sinks
+
+    image = rows(spark, {1: np.zeros((2, 2, 3), int)})
+    with pytest.raises(KeyError):
+        image_quality.measured(image, image, {"other": {}})
+    members = spark.createDataFrame([("a", "train"), ("b", "val")], "path string, split string")
+    with pytest.raises(FileNotFoundError):
+        sinks.materialise_split(members, str(tmp_path / "s"), sources=members.where("path = 'a'"))
+    assert not (tmp_path / "s").exists()
