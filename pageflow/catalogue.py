@@ -1047,7 +1047,7 @@ _NEGATIVE = ", ".join(f"CASE WHEN b > 127 THEN 255 - {c} ELSE {c} END AS {c}" fo
 def patch_restoration(spark, d):
     """The stand-in looks at single pixels, so overlapping patches agree and the blend gives their value."""
     masked = _whole(spark, d).withColumn("m", (F.col("b") > 127).cast("int"))
-    return restoration.restored_by_patches(masked, "negative", _load_negative, size=8, overlap=4)
+    return restoration.restored_by_patches(masked, "negative", _load_negative, size=16, overlap=8)
 
 
 _NEGATIVE_AGAIN = ", ".join(f"CASE WHEN m THEN 255 - floor(pow({c} / 255.0e0, 1 / 1.5e0) * 255.0e0)::INT ELSE floor(pow({c} / 255.0e0, 1 / 1.5e0) * 255.0e0)::INT END AS {c}" for c in "rgb")
@@ -1056,7 +1056,7 @@ _NEGATIVE_AGAIN = ", ".join(f"CASE WHEN m THEN 255 - floor(pow({c} / 255.0e0, 1
 @query(f"WITH {BOX}, {PIX}, {WHOLE}, first AS (SELECT image, y, x, b > 127 AS m, {_NEGATIVE} FROM whole) SELECT image, y, x, {_NEGATIVE_AGAIN} FROM first")
 def two_stage_restoration(spark, d):
     masked = _whole(spark, d).withColumn("m", (F.col("b") > 127).cast("int"))
-    return restoration.restored_in_stages(masked, [("negative", _load_negative)] * 2, size=8, overlap=4)
+    return restoration.restored_in_stages(masked, [("negative", _load_negative)] * 2, size=16, overlap=8)
 
 
 def _load_planes():
@@ -1234,7 +1234,7 @@ def page_order(spark, d):
     p = F.col("page_id")
     name = F.when(p % 4 == 0, F.concat(F.lit("cover"), p.cast("string"))).otherwise(F.format_string("%d_%05d_%d", p % 7, p * 37 % 1000, p % 2 + 1))
     named = _table(spark, d, "pages").select(name.alias("name"), "page_id")
-    ranked = datasets.in_page_order(named.withColumn("_one", F.lit(1)), rank="place").drop("_one")
+    ranked = datasets.in_page_order(named, rank="place")
     single = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
     return ranked.join(single.select("name"), "name", "left_semi").select("name", "page_id", F.col("place").cast("long").alias("place"))
 
