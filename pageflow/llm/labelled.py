@@ -42,7 +42,7 @@ def fit_logistic(start: np.ndarray, index: np.ndarray, value: np.ndarray, n_feat
     def loss(w):
         margin = sign * (np.bincount(row, weights=w[index] * value, minlength=len(y)) + w[-1])
         g = -sign * weight / (1 + np.exp(np.clip(margin, -500, 500)))
-        grad = np.bincount(index, weights=g[row] * value, minlength=n_features + 1)
+        grad = np.bincount(index, weights=g[row] * value, minlength=n_features + 1).astype(float)  # whole numbers if there is no feature
         grad[:-1] += l2 * w[:-1]
         grad[-1] = g.sum()
         return float((weight * np.logaddexp(0, -margin)).sum() + 0.5 * l2 * (w[:-1] ** 2).sum()), grad

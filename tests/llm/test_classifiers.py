@@ -138,3 +138,34 @@ def test_distinct_features():
     (own,) = make(data, np.array([0, 9]))
     assert len(own) == len(set(own.tolist()))
     assert pytest.approx(len(own), abs=1) == len({(n, (b" abab abab ")[i : i + n]) for n in toxicity.ORDERS for i in range(11 - n + 1)})
+
+
+def test_toxicity_scores_equal_single_features(spark):
+    """Every n-gram by itself: its bucket, and the sum of the weights of a text's distinct buckets."""
+    rng = np.random.default_rng(2)
+    weight = np.where(rng.random(1 << toxicity.BUCKET_BITS) < 0.3, rng.normal(size=1 << toxicity.BUCKET_BITS), 0).astype(np.float32)
+    got = toxicity.score(odd(spark), toxicity.Model(weight, -0.25)).collect()
+    known = {}
+
+    def bucket(gram):
+        if gram not in known:
+            known[gram] = int(toxicity._gram_buckets(np.frombuffer(gram, np.uint8))[toxicity.ORDERS.index(len(gram))][0])
+        return known[gram]
+
+    want = []
+    for i, text in ODD:
+        data, offsets = np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())])
+        raw, at = toxicity.padded(data, offsets)
+        raw = raw[int(at[0]) - 1 : int(at[1])].tobytes()
+        assert raw.startswith(b" ") and (raw.endswith(b" ") or len(raw) < 2)
+        grams = {raw[a : a + n] for n in toxicity.ORDERS for a in range(len(raw) - n + 1)}
+        total = sum(float(weight[b]) for b in {bucket(g) for g in grams})
+        want.append((i, 1 / (1 + np.exp(-(total - 0.25)))))
+    assert [r["doc_id"] for r in got] == [i for i, _ in want]
+    assert np.allclose([r["score"] for r in got], [s for _, s in want])
+
+
+def test_toxicity_of_no_documents(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(odd(spark).where("false"), labels).count() == 0
+    assert toxicity.toxicity(odd(spark), labels).count() == len(ODD)

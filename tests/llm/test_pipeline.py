@@ -38,3 +38,14 @@ def test_stages(spark):
     assert set(packed.doc_id) == kept["benchmark decontamination"]
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert len(corpus_pipeline.run(spark, DIR).toPandas()) == len(packed)
+
+
+def test_no_documents(spark, tmp_path):
+    """Every stage on empty tables, and the whole."""
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, DIR, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
